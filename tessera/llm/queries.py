@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, packing
+from tessera.llm import bpe, packing, spans
 from tessera.runtime import table
 
 
@@ -25,9 +25,19 @@ def p7_summary(spark: SparkSession, d: str) -> DataFrame:
     return rows.agg(n.alias("containers"), t.alias("tokens")).select("containers", "tokens", F.ceil(F.col("tokens") / cap).alias("least"), (F.col("containers") * cap - F.col("tokens")).alias("left_over"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_spans(table(spark, d, "documents"))
+
+
+def p8_share(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_share(table(spark, d, "documents"))
+
+
 def catalogue() -> dict:
     return {
         "p6_ids": (p6_ids, None),
         "p7_containers": (p7_containers, None),
         "p7_summary": (p7_summary, None),
+        "p8_found": (p8_found, None),
+        "p8_share": (p8_share, None),
     }

@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, packing, spans
+from tessera.llm import bpe, kinds, packing, spans
 from tessera.runtime import table
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return kinds.not_hand_written(table(spark, d, "documents"), table(spark, d, "vendor_items"))
+
+
+def p4_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return kinds.source_kinds(table(spark, d, "documents"), table(spark, d, "vendor_items"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"))
 
@@ -35,6 +43,8 @@ def p8_share(spark: SparkSession, d: str) -> DataFrame:
 
 def catalogue() -> dict:
     return {
+        "p4_found": (p4_found, None),
+        "p4_kinds": (p4_kinds, None),
         "p6_ids": (p6_ids, None),
         "p7_containers": (p7_containers, None),
         "p7_summary": (p7_summary, None),

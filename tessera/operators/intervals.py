@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tessera.runtime import SharedFolder
+
 Interval = tuple[int, int]
 
 
@@ -77,35 +79,23 @@ class Commit:
 
 
 class Ledger:
-    """Commit records ``commit-N.json`` in a folder reachable through Hadoop's file systems."""
+    """Commit records ``commit-N.json`` in a shared folder."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._folder = SharedFolder(spark, path)
 
     def read(self) -> Commit:
-        root = self._path(self.path)
-        names = [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
-        versions = [int(n[7:-5]) for n in names if n.startswith("commit-") and n.endswith(".json")]
-        if not versions:
+        names = [n for n in self._folder.names() if n.startswith("commit-")]
+        if not names:
             return Commit(0, (), ())
-        text = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(self._fs.open(self._path(f"{self.path}/commit-{max(versions):08d}.json")), "UTF-8")
-        body = json.loads(text)
-        return Commit(max(versions), tuple(tuple(x) for x in body["done"]), tuple(body["outputs"]))
+        body = json.loads(self._folder.read(max(names)))
+        return Commit(int(max(names)[7:-5]), tuple((lo, hi) for lo, hi in body["done"]), tuple(body["outputs"]))
 
     def commit(self, base: Commit, processed: list[Interval], output: str | None) -> Commit:
         after = Commit(base.version + 1, tuple(merged([*base.done, *processed])), (*base.outputs, *([output] if output else [])))
-        body = json.dumps({"done": after.done, "outputs": after.outputs}).encode()
-        draft = self._path(f"{self.path}/.draft-{uuid.uuid4().hex}")
-        final = self._path(f"{self.path}/commit-{after.version:08d}.json")
-        stream = self._fs.create(draft, False)
-        stream.write(bytearray(body))
-        stream.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
-            self._fs.delete(draft, False)
-            raise LedgerConflict(f"{final} exists")
+        if not self._folder.create(f"commit-{after.version:08d}.json", json.dumps({"done": after.done, "outputs": after.outputs})):
+            raise LedgerConflict(f"{self.path}: commit {after.version} exists")
         return after
 
     def output(self) -> DataFrame | None:

@@ -64,3 +64,50 @@ def ship(spark: SparkSession) -> None:
 
 def partitions_for(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class SharedFolder:
+    """Small files in a folder of any file system that the session reaches.
+
+    A file appears whole or not at all: it is written under another name, then renamed.
+    ``create`` fails if the name is taken, which makes numbered records a log with one
+    winner per number.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._jvm = spark.sparkContext._jvm
+        self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def names(self) -> list[str]:
+        root = self._at("")
+        return [s.getPath().getName() for s in self._fs.listStatus(root)] if self._fs.exists(root) else []
+
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._at(name))
+
+    def read(self, name: str) -> str:
+        stream = self._fs.open(self._at(name))
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def create(self, name: str, text: str) -> bool:
+        draft = f".draft-{uuid.uuid4().hex}"
+        stream = self._fs.create(self._at(draft), False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        if not self.exists(name) and self._fs.rename(self._at(draft), self._at(name)):
+            return True
+        self._fs.delete(self._at(draft), False)
+        return False
+
+    def remove(self, name: str = "") -> None:
+        self._fs.delete(self._at(name), True)
+
+    def size(self, name: str = "") -> int:
+        return int(self._fs.getContentSummary(self._at(name)).getLength()) if self.exists(name) else 0

@@ -43,11 +43,12 @@ def parser() -> argparse.ArgumentParser:
     ix.add_argument("--after", nargs=argparse.REMAINDER)
     ix.add_argument("--verbose", action="store_true")
     ix.add_argument("-j", "--threads", type=int)
-    se = sub.add_parser("search", help="search the indexed files")
+    se = sub.add_parser("search", help="search the indexed files", add_help=False)
+    se.add_argument("--help", action="help")
     se.add_argument("regexp")
     se.add_argument("-c", "--count", action="store_true")
     se.add_argument("-f", "--file-regexp")
-    se.add_argument("-h_", "--no-names", action="store_true")
+    se.add_argument("-h", "--no-names", action="store_true")
     se.add_argument("-i", "--ignore-case", action="store_true")
     se.add_argument("-l", "--list-files", action="store_true")
     se.add_argument("-n", "--line-numbers", action="store_true")

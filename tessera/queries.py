@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.operators import intervals, radix, skew, snapdiff
 from tessera.runtime import table
+from tessera.search_queries import SEARCH_QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -109,4 +110,4 @@ SELECT b.build_id, b.distinct_trigrams AS claimed_trigrams, b.posting_entries AS
 
 
 def catalogue() -> dict[str, tuple[Query, str | None]]:
-    return dict(DATA_QUERIES)
+    return DATA_QUERIES | SEARCH_QUERIES

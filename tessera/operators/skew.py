@@ -50,25 +50,16 @@ def salted_aggregate(
     return first.groupBy(key).agg(*[c.alias(n) for n, c in merges.items()])
 
 
-def valid_postings(postings: DataFrame, files: DataFrame) -> DataFrame:
-    """The rows of ``postings`` that count: trigram not null, file known, each exact
-    duplicate once. Extra columns take part in what "exact duplicate" means only if
-    they are among the five of the table; others are dropped.
-
-    Duplicates are dropped under a shuffle on (trigram, file_id), which spreads a heavy
-    trigram over its files and a heavy file over its trigrams; partial aggregation has
-    already dropped the repeats within each task. The file check is a left semi join:
-    Spark broadcasts ``files`` only below its size threshold, and splits a skewed side.
-    """
-    cols = ["trigram", "file_id", "block", "cnt", "build_id"]
-    known = files.select("file_id").filter(F.col("file_id").isNotNull()).distinct()
-    rows = postings.select(*cols).filter(F.col("trigram").isNotNull() & F.col("file_id").isNotNull())
-    return rows.distinct().join(known, "file_id", "left_semi")
-
-
 def posting_groups(postings: DataFrame, files: DataFrame) -> DataFrame:
-    """Valid rows per (trigram, file_id): ``n_rows`` and ``sum_cnt`` (null counts add
-    nothing). The unit that both salted and radix aggregation start from."""
+    """The rows that count, per (trigram, file_id): ``n_rows`` and ``sum_cnt``.
+
+    A row counts if its trigram is not null and its file is known; exact duplicates (in the
+    table's five columns; others are not read) count once; a null cnt adds nothing. Repeats
+    are dropped within each task before any shuffle, and the key (trigram, file) spreads a
+    heavy trigram over its files and a heavy file over its trigrams. The check of the file is
+    a semi join: ``files`` is broadcast only below the engine's size threshold, and a skewed
+    side is split.
+    """
     cols = ["trigram", "file_id", "block", "cnt", "build_id"]
     known = files.select("file_id").filter(F.col("file_id").isNotNull()).distinct()
     rows = postings.select(*cols).filter(F.col("trigram").isNotNull() & F.col("file_id").isNotNull())

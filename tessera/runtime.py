@@ -41,7 +41,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     that survives the loss of executors, and later scans prune its columns."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

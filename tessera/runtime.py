@@ -45,6 +45,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Remove a table that ``materialize`` wrote, once nothing will read it again."""
+    spark = df.sparkSession
+    home = shared_dir(spark).split(":")[-1].lstrip("/")
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if folder.split(":")[-1].lstrip("/").startswith(home + "/"):
+            SharedFolder(spark, folder).remove()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,13 +31,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.runtime import materialize
+from tessera.runtime import discard, materialize
 
 LENGTH = 120
 #: Short grams name windows. Shorter ones give fewer runs, longer ones fewer chance matches.
 GRAM = 48
 #: Code points hashed together.
 PIECE = 1 << 19
+#: A run lies within a piece, so its length takes this many bits beside its beginning.
+_SPAN_BITS = 20
 
 _BASE = 0x9E3779B97F4A7C15
 _POWERS: dict[str, np.ndarray] = {}
@@ -136,7 +138,9 @@ def _wholes(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
         for batch in batches:
             for k in range(batch.num_rows):
                 text, runs = batch.column(1)[k].as_py(), batch.column(2)[k].values
-                name, lo, hi = (runs.field(f).to_numpy() for f in (0, 1, 2))
+                name, at = (runs.field(f).to_numpy() for f in (0, 1))
+                lo = at >> _SPAN_BITS
+                hi = lo + (at & ((1 << _SPAN_BITS) - 1))
                 for a in range(0, len(lo), 4096):
                     pieces = [text[x : y + length] for x, y in zip(lo[a : a + 4096].tolist(), hi[a : a + 4096].tolist())]
                     joined = "".join(pieces)
@@ -187,9 +191,11 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     long = lambda *names: [T.StructField(n, T.LongType()) for n in names]
     runs = materialize(docs.mapInArrow(_runs(length, gram), T.StructType([kind, *long("name", "lo", "hi")])), "span-runs")
     named = _in_two_records(runs, "name").select("name")
-    near = runs.join(named, "name", "left_semi").groupBy("key").agg(F.collect_list(F.struct("name", "lo", "hi")).alias("runs"))
+    packed = runs.select("name", "key", (F.shiftleft("lo", _SPAN_BITS) + F.col("hi") - F.col("lo")).alias("at"))
+    near = packed.join(named, "name", "left_semi").groupBy("key").agg(F.collect_list(F.struct("name", "at")).alias("runs"))
     pieces = docs.join(near, "key").select("key", "text", "runs").mapInArrow(_wholes(length), T.StructType([kind, *long("name", "lo", "hi", "whole"), T.StructField("text", T.StringType())]))
     pieces = materialize(pieces, "span-pieces")
+    discard(runs)
     tagged = materialize(pieces.join(_in_two_records(pieces, "whole"), "whole", "left").drop("whole"), "span-wholes")
     settled = tagged.filter("a IS NOT NULL").select("key", "lo", "hi")
     rims = tagged.filter("a IS NULL").select("key", F.col("key").alias("a"), F.col("key").alias("b"), "lo", "text", "name")

@@ -9,7 +9,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.control import hooks
 from tessera.control.engine import INDEX_VARIABLE, Engine, local_root, resolve_index_path
+from tessera.control.readonly import is_read_only
 from tessera.plans.hir import PatternError
 from tessera.runtime import ship
 from tessera.sources.index import Index, IndexFormatError, open_index
@@ -41,6 +43,11 @@ def parser() -> argparse.ArgumentParser:
     ix.add_argument("--if-changed", action="store_true")
     ix.add_argument("--hook", action="store_true")
     ix.add_argument("--after", nargs=argparse.REMAINDER)
+    ix.add_argument("--background", action="store_true", help="with --hook: return at once")
+    ix.add_argument("--install-hooks", action="store_true")
+    ix.add_argument("--uninstall-hooks", action="store_true")
+    ix.add_argument("--print-hook", metavar="TOOL")
+    ix.add_argument("--shell", default=os.path.basename(os.environ.get("SHELL", "sh")))
     ix.add_argument("--verbose", action="store_true")
     ix.add_argument("-j", "--threads", type=int)
     se = sub.add_parser("search", help="search the indexed files", add_help=False)
@@ -93,8 +100,31 @@ def search(index: Index, args: argparse.Namespace, out=sys.stdout, err=sys.stder
     return MATCHED if shown else NO_MATCH
 
 
+def _without_session(args: argparse.Namespace, words: list[str]) -> int | None:
+    """What needs no Spark: hooks, their text, and handing a refresh to another process."""
+    try:
+        if args.print_hook:
+            print(hooks.shell_hook(args.print_hook, args.shell), end="")
+        elif args.install_hooks:
+            for note in hooks.install(local_root(os.getcwd())):
+                print(note, file=sys.stderr)
+        elif args.uninstall_hooks:
+            print(f"removed {hooks.uninstall(local_root(os.getcwd()))} hook(s)", file=sys.stderr)
+        elif args.hook and args.background:
+            if not (args.after and is_read_only(args.after[0], args.after[1:])):
+                hooks.detach([w for i, w in enumerate(words) if w != "--background" or "--after" in words[:i]])
+        else:
+            return None
+    except (ValueError, NotADirectoryError) as e:
+        print(f"Error: {e}", file=sys.stderr)
+        return FAILED
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    if args.command == "index" and (code := _without_session(args, argv if argv is not None else sys.argv[1:])) is not None:
+        return code
     path = resolve_index_path(args.indexpath, os.environ.get(INDEX_VARIABLE), os.getcwd(), os.path.expanduser("~"))
     spark = _session(args.threads)
     say = lambda text: print(text, file=sys.stderr)

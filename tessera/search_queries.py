@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.control import stamp
+from tessera.control import compare, stamp
 from tessera.functions import trigrams
 from tessera.operators import grep, intervals, roots, snapdiff
 from tessera.plans import hir
@@ -240,9 +240,9 @@ def superset_check(spark: SparkSession, d: str) -> DataFrame:
 
 def parity_diff(spark: SparkSession, d: str) -> DataFrame:
     """Counts with and without the index, where they differ: a full join, and no rows."""
-    a = _counted("(reader|writer)[A-Z]")(spark, d).withColumnRenamed("n", "indexed")
-    b = search_brute(spark, d).withColumnRenamed("n", "brute")
-    return a.join(b, "doc_id", "full").filter(~F.col("indexed").eqNullSafe(F.col("brute")))
+    a = _counted("(reader|writer)[A-Z]")(spark, d)
+    rows = compare.differences(a, search_brute(spark, d), "doc_id")
+    return rows.select("doc_id", F.col("left_n").alias("indexed"), F.col("right_n").alias("brute"))
 
 
 def candidate_share(spark: SparkSession, d: str) -> DataFrame:

@@ -11,7 +11,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from tessera.control import cli, githead, stamp, turns
+from tessera.control import cli, compare, githead, hooks, stamp, turns
 from tessera.control.engine import INDEX_NAME, Engine, exclude_from_git, local_root, resolve_index_path
 from tessera.control.readonly import command, is_read_only
 from tessera.operators.roots import collapse, collapse_list, is_within, plan_roots
@@ -395,3 +395,54 @@ def test_entry_points():
     named = e.queries()
     assert {f"p{n}_found" for n in (1, 2, 3, 5)} <= set(named) and set(e.oracle_sql()) <= set(named)
     assert json.dumps(sorted(named))
+
+
+@pytest.mark.skipif(not HAS_GIT, reason="needs git")
+def test_git_hooks(tmp_path):
+    root = files(tmp_path / "r", "a")
+    with pytest.raises(NotADirectoryError):
+        hooks.install(root)
+    subprocess.run(["git", "init", "-q", root], check=True)
+    (tmp_path / "r/.git/hooks/post-merge").write_text("#!/bin/sh\necho mine\n")
+    assert ["post-merge" in n for n in hooks.install(root, "true")] == [True]
+    assert hooks.install(root, "true") and os.access(tmp_path / "r/.git/hooks/post-commit", os.X_OK)
+    assert hooks.uninstall(root) == 3 and "mine" in (tmp_path / "r/.git/hooks/post-merge").read_text()
+
+
+def test_shell_hooks(tmp_path):
+    for bad in ("-x", "a b", "a;b", ""):
+        with pytest.raises(ValueError):
+            hooks.shell_hook(bad, "sh")
+    with pytest.raises(ValueError):
+        hooks.shell_hook("p4", "cmd")
+    assert all(hooks.shell_hook("p4", s) for s in [*hooks.SHELLS, "/usr/bin/zsh", "C:\\x\\pwsh.exe"])
+    tool = tmp_path / "p4"
+    tool.write_text('#!/bin/sh\necho "tool $# $1"\nexit 3\n')
+    seen = tmp_path / "seen"
+    refresh = tmp_path / "refresh"
+    refresh.write_text(f'#!/bin/sh\necho "$@" > "{seen}"\n')
+    for f in (tool, refresh):
+        f.chmod(0o755)
+    text = hooks.shell_hook("p4", "sh", str(refresh))
+    done = subprocess.run(["sh", "-c", text + 'p4 sync "a b"; echo $?'], env={"PATH": f"{tmp_path}:/usr/bin:/bin"}, capture_output=True, text=True)
+    assert done.stdout == "tool 2 sync\n3\n" and seen.read_text() == "--background --after p4 sync a b\n"
+
+
+def test_commands_without_a_session(capsys, monkeypatch):
+    sent = []
+    monkeypatch.setattr(hooks, "detach", sent.append)
+    assert cli.main(["index", "--print-hook", "p4", "--shell", "fish"]) == 0 and "function p4" in capsys.readouterr().out
+    assert cli.main(["index", "--print-hook", "p 4"]) == cli.FAILED
+    assert cli.main(["index", "--hook", "--background", "--after", "p4", "opened"]) == 0 and sent == []
+    assert cli.main(["index", "--hook", "--background", "--after", "p4", "sync"]) == 0 and sent == [["index", "--hook", "--after", "p4", "sync"]]
+
+
+def test_comparison(spark):
+    assert compare.count_line("/c/a:b.txt:12\n", "/c/") == ("a:b.txt", 12) and compare.count_line("nothing", "/c") is None
+    assert compare.patterns(["# note\n", "\n", "-i foo\n", "a#b\n"]) == [("foo", True), ("a#b", False)]
+    calls = []
+    assert len(compare.timed(lambda: calls.append(1), 3)) == 2 and len(calls) == 4
+    a = spark.createDataFrame([("x", 1), ("y", 2), ("z", 3)], "path string, n long")
+    b = spark.createDataFrame([("x", 1), ("y", 5), ("w", 1)], "path string, n long")
+    assert {r.path: r.kind for r in compare.differences(a, b).collect()} == {"y": "count", "z": "only left", "w": "only right"}
+    assert compare.differences(a, a).count() == 0

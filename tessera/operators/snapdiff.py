@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.paths import resolved
 from tessera.operators.intervals import in_sequence, processed_sequence
+from tessera.runtime import spread
 
 
 def listings(entries: DataFrame, sequence: DataFrame) -> DataFrame:
@@ -20,7 +21,7 @@ def listings(entries: DataFrame, sequence: DataFrame) -> DataFrame:
     """
     steps = sequence.select("snap_id", "root_ord", "seq")
     mtime = F.when(F.col("mtime_s").isNotNull() | F.col("mtime_ns").isNotNull(), F.struct("mtime_s", "mtime_ns"))
-    rows = entries.select("snap_id", "path", "len", "mtime_s", "mtime_ns", "seen_at").filter(F.col("path").isNotNull()).join(steps, "snap_id").select("root_ord", resolved(F.col("path")).alias("path"), "seq", "snap_id", F.struct("seen_at", "len", mtime.alias("mtime")).alias("reading"))
+    rows = spread(entries.select("snap_id", "path", "len", "mtime_s", "mtime_ns", "seen_at")).filter(F.col("path").isNotNull()).join(steps, "snap_id").select("root_ord", resolved(F.col("path")).alias("path"), "seq", "snap_id", F.struct("seen_at", "len", mtime.alias("mtime")).alias("reading"))
     return rows.groupBy("root_ord", "path", "seq", "snap_id").agg(F.max("reading").alias("reading")).select("root_ord", "path", "seq", "snap_id", "reading.len", "reading.mtime")
 
 

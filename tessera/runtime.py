@@ -45,6 +45,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Inputs with less than this for each core are spread before heavy work on their rows.
+SPREAD_BYTES = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input over all cores, however few files or row groups it lies in. Large
+    inputs have splits enough, and are not moved."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < SPREAD_BYTES * cores else df
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table that ``materialize`` wrote, once nothing will read it again."""
     spark = df.sparkSession

@@ -14,7 +14,7 @@ from tessera.operators import grep, intervals, roots, snapdiff
 from tessera.plans import hir
 from tessera.plans.analyze import regexp_query
 from tessera.plans.candidates import candidates
-from tessera.runtime import fresh_path, materialize, table
+from tessera.runtime import fresh_path, materialize, spread, table
 from tessera.sources import index, listing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,7 +30,7 @@ def _once(spark: SparkSession, d: str, what: str, make: Callable[[], object]):
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text", "path")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "path"))
 
 
 def _grams(spark: SparkSession, d: str) -> DataFrame:

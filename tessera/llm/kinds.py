@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.runtime import spread
+
 #: Extensions and language tags by comment style.
 SLASH = "c h cc cpp hpp java js jsx ts tsx go rs css scss kt swift scala cs php json javascript typescript golang rust".split()
 HASH = "py sh rb pl yaml yml toml lock sum r python bash shell ruby".split()
@@ -243,7 +245,7 @@ def source_kinds(df: DataFrame, items: DataFrame, key: str = "doc_id", known_byt
     small = size <= known_bytes
     known = KnownTexts([(r.item_id, r.text) for r in items.select("item_id", "text").collect()]) if small else None
     schema = T.StructType([T.StructField("key", df.schema[key].dataType), *(T.StructField(f, T.BooleanType()) for f in _FIELDS)])
-    rows = df.select(F.col(key).alias("key"), "text", "path", "lang")
+    rows = spread(df.select(F.col(key).alias("key"), "text", "path", "lang"))
     judged = rows.mapInArrow(_judge(known), schema)
     if not small:
         copies = copies_by_join(rows.select("key", "text"), items).withColumn("copy", F.lit(True))

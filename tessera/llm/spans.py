@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.runtime import discard, materialize
+from tessera.runtime import discard, materialize, spread
 
 LENGTH = 120
 #: Short grams name windows. Shorter ones give fewer runs, longer ones fewer chance matches.
@@ -189,7 +189,7 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     kind = T.StructField("key", df.schema[key].dataType)
     docs = df.filter(F.col(key).isNotNull() & (F.length(text) >= length)).select(F.col(key).alias("key"), F.col(text).alias("text"))
     long = lambda *names: [T.StructField(n, T.LongType()) for n in names]
-    runs = materialize(docs.mapInArrow(_runs(length, gram), T.StructType([kind, *long("name", "lo", "hi")])), "span-runs")
+    runs = materialize(spread(docs).mapInArrow(_runs(length, gram), T.StructType([kind, *long("name", "lo", "hi")])), "span-runs")
     named = _in_two_records(runs, "name").select("name")
     packed = runs.select("name", "key", (F.shiftleft("lo", _SPAN_BITS) + F.col("hi") - F.col("lo")).alias("at"))
     near = packed.join(named, "name", "left_semi").groupBy("key").agg(F.collect_list(F.struct("name", "at")).alias("runs"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.paths import resolved
 from tessera.operators.intervals import in_sequence, processed_sequence
-from tessera.runtime import spread
+from tessera.runtime import materialize, spread
 
 
 def listings(entries: DataFrame, sequence: DataFrame) -> DataFrame:
@@ -55,7 +55,7 @@ def consecutive_changes(listing: DataFrame, sequence: DataFrame) -> DataFrame:
 
 def snapshot_changes(entries: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Changes of each snapshot against the one its root had before."""
-    sequence = in_sequence(snapshots)
+    sequence = materialize(in_sequence(snapshots), "sequence")
     return consecutive_changes(listings(entries, sequence), sequence)
 
 
@@ -64,6 +64,6 @@ def refresh_rows(entries: DataFrame, snapshots: DataFrame, stamps: DataFrame) ->
     new, or differing, against the listing indexed last before it. Snapshots that were
     never indexed are neither base nor target, so that failed runs skip nothing and
     repeated ones add nothing. The first indexed snapshot of a root has no base."""
-    sequence = processed_sequence(snapshots, stamps)
+    sequence = materialize(processed_sequence(snapshots, stamps), "sequence")
     changes = consecutive_changes(listings(entries, sequence), sequence)
     return changes.filter(F.col("change") != "removed").select("snap_id", "path")

@@ -49,12 +49,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 SPREAD_BYTES = 8 << 20
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """A small input over all cores, however few files or row groups it lies in. Large
-    inputs have splits enough, and are not moved."""
+    inputs have splits enough, and are not moved. ``of`` is the input that ``df`` was
+    filtered from, if it was: then its size counts, and only what is left of it moves."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str((df if of is None else of)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size < SPREAD_BYTES * cores else df
 
 

@@ -69,8 +69,8 @@ def _contents(spark: SparkSession, d: str) -> DataFrame:
 def _found(spark: SparkSession, d: str, pattern: str, ignore_case: bool = False, name: str | None = None) -> DataFrame:
     """The candidates of a search with their texts."""
     ids = candidates(_postings(spark, d), regexp_query(pattern, ignore_case), _indexed(spark, d), _counts(spark, d), "doc_id")
-    docs = _docs(spark, d)
-    return (grep.name_filter(docs, name) if name else docs).join(ids, "doc_id", "left_semi")
+    docs = table(spark, d, "documents").select("doc_id", "text", "path")
+    return spread((grep.name_filter(docs, name) if name else docs).join(ids, "doc_id", "left_semi"), docs)
 
 
 # SQL that the queries share

@@ -13,9 +13,11 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,6 +61,33 @@ def islands(rows: DataFrame, group: str, seq: str) -> DataFrame:
     return numbered.groupBy(group, "_k").agg(F.min(seq).alias("lo"), F.max(seq).alias("hi")).drop("_k")
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of consecutive numbers in a task's ascending, distinct ones."""
+    low = last = None
+    for batch in batches:
+        x = batch.column(0).to_numpy()
+        if not len(x):
+            continue
+        if low is None:
+            low = last = int(x[0])
+        breaks = np.flatnonzero(np.diff(x, prepend=last) > 1)
+        lows = np.concatenate(([low], x[breaks]))
+        highs = np.append(np.concatenate(([last], x))[breaks], x[-1])
+        if len(breaks):
+            yield pa.RecordBatch.from_arrays([pa.array(lows[:-1], pa.int64()), pa.array(highs[:-1], pa.int64())], names=["lo", "hi"])
+        low, last = int(lows[-1]), int(x[-1])
+    if low is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([low], pa.int64()), pa.array([last], pa.int64())], names=["lo", "hi"])
+
+
+def available(rows: DataFrame, seq: str) -> list[Interval]:
+    """The numbers present, as intervals. Numbers are sorted in ranges, each range is read
+    once, and only the ends of its runs come to the driver, which joins those that touch."""
+    numbers = rows.select(F.col(seq).cast("long").alias("seq")).dropna().distinct()
+    ends = numbers.repartitionByRange("seq").sortWithinPartitions("seq").mapInArrow(_runs, "lo long, hi long")
+    return merged((r.lo, r.hi) for r in ends.collect())
+
+
 def within(seq: Column, parts: list[Interval]) -> Column:
     """A filter that reaches the scan: one range test per interval."""
     test = F.lit(False)
@@ -108,13 +137,11 @@ def process_new(ledger: Ledger, source: DataFrame, seq: str, work: Callable[[Dat
     """Run ``work`` over the rows of ``source`` whose sequence number isn't done, and
     commit its output with their intervals. Returns what was processed.
 
-    The numbers present are found as islands in the cluster; only their ends come to the
-    driver (as many as there are holes in the sequence, not as there are rows). Rows
-    without a sequence number are never available.
+    Only the ends of runs of numbers come to the driver: as many as there are holes in the
+    sequence, not as there are rows. Rows without a sequence number are never available.
     """
     base = ledger.read()
-    ends = islands(source.select(F.lit(0).alias("_g"), F.col(seq)), "_g", seq).select("lo", "hi").collect()
-    todo = gaps([(r.lo, r.hi) for r in ends], base.done)
+    todo = gaps(available(source, seq), base.done)
     if not todo:
         return []
     out = f"{ledger.path}/out-{uuid.uuid4().hex}"

@@ -204,3 +204,10 @@ def test_changes_against_brute_force(spark):
         a, b = listed.get(i - 2, {}), listed.get(i, {})
         want |= {(i, p, "added") for p in b.keys() - a.keys()} | {(i, p, "removed") for p in a.keys() - b.keys()} | {(i, p, "changed") for p in a.keys() & b.keys() if a[p] != b[p]}
     assert {tuple(r) for r in snapdiff.snapshot_changes(entries(spark, rows), s).collect()} == want
+
+
+@pytest.mark.parametrize("numbers", [[], [5], [1, 2, 3], [3, 1, 9, 10, 2, 20], [None, 4, 4, 6], list(range(0, 400, 2)) + list(range(500, 900))])
+def test_available_numbers(spark, numbers):
+    df = spark.createDataFrame([(n,) for n in numbers], "n int").repartition(3)
+    known = [n for n in numbers if n is not None]
+    assert intervals.available(df, "n") == intervals.merged((n, n) for n in known)

@@ -46,7 +46,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 #: Inputs with less than this for each core are spread before heavy work on their rows.
-SPREAD_BYTES = 8 << 20
+SPREAD_BYTES = 2 << 20
 
 
 def spread(df: DataFrame, of: DataFrame | None = None) -> DataFrame:

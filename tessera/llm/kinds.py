@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.notices import may_say_so, says_generated
 from tessera.runtime import spread
 
 #: Extensions and language tags by comment style.
@@ -48,6 +49,7 @@ GENERATED_NOTICE = re.compile(r"code generated\b.*\bdo not edit|\bdo not edit\b\
 THIRD_NOTICE = re.compile(r"\bvendored from\b|\bbundled copy of\b|\bthird[- ]party code\b|\bimported unmodified from\b|\bupstream: *\S+ +release\b|\bcopied (verbatim|unmodified) from\b", re.I)
 DENIAL = re.compile(r"not generated|used to be|hand-?written|by hand since|no longer|not vendored|instead of the (vendored|generated)|replacement for", re.I)
 COMMENT = re.compile(r"\s*(//|#(?!include|define|if|endif|pragma|\[|!\[)|--|/\*|\*|<!--|;;|%|>)")
+_MARKS = re.compile(r"^[\s/*#<!;%>-]+|[\s*/>-]+$")
 
 _LITERALS = r'|(?P<lit>"""(?:.|\n)*?"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`[^`]*`|(?<!\w)\d[\w.]*)|(?P<word>[^\W\d]\w*)|(?P<line>\n)|(?P<blank>[^\S\n]+)|(?P<mark>.)'
 _LEXERS = {
@@ -56,6 +58,7 @@ _LEXERS = {
     "dash": re.compile(r"(?P<note>--[^\n]*|/\*(?:.|\n)*?\*/)" + _LITERALS),
 }
 _IMPORTS = {"import", "use", "from", "package", "include", "using", "require", "mod", "extern"}
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHINGLE_WORD = re.compile(r"\w+|[^\w\s]")
 
 #: Texts with fewer characters than this, blanks aside, are nobody's case.
@@ -140,6 +143,18 @@ def _stated(text: str, notice: re.Pattern, style: str) -> bool:
     return any(notice.search(x) and not DENIAL.search(x) for x in lines)
 
 
+def _states_generated(text: str, style: str) -> bool:
+    """In the fixed forms, or in others that say so in one head comment or two on end."""
+    if _stated(text, GENERATED_NOTICE, style):
+        return True
+    head = list(_head_comments(text)) if style != "prose" else text[:400].split("\n")[:1]
+    if not may_say_so("\n".join(head)):
+        return False
+    lines = [_MARKS.sub("", x).strip() for x in head]
+    pairs = (f"{a} {b}" for a, b in zip(lines, lines[1:]))
+    return any(says_generated(x) and not DENIAL.search(x) for x in (*lines, *pairs))
+
+
 def kinds_of(text: str | None, path: str | None, lang: str | None) -> set[str]:
     """The kinds that the file itself shows; copies of known texts are found elsewhere."""
     if not text or len("".join(text[: 64 * TINY].split())) < TINY:
@@ -148,7 +163,7 @@ def kinds_of(text: str | None, path: str | None, lang: str | None) -> set[str]:
     path = path or ""
     style = style_of(path, lang)
     out = set()
-    if LOCK_NAME.search(path) or GENERATED_PLACE.search(path) or _stated(text, GENERATED_NOTICE, style):
+    if LOCK_NAME.search(path) or GENERATED_PLACE.search(path) or _states_generated(text, style):
         out.add("generated")
     if THIRD_PLACE.search(path) or _stated(text, THIRD_NOTICE, style):
         out.add("third_party")
@@ -166,10 +181,19 @@ def kinds_of(text: str | None, path: str | None, lang: str | None) -> set[str]:
 
 def shingles(text: str | None) -> np.ndarray:
     """The distinct hashes of every five words in a row; words are runs of letters and
-    digits, or single marks. Fewer than five words have none."""
+    digits, or single marks. Fewer than five words have none. Each distinct word is
+    hashed once, and the hashes of five are mixed into one of 64 bits."""
     words = _SHINGLE_WORD.findall(text or "")
-    made = {zlib.crc32(a.encode()) << 32 | zlib.crc32(a[::-1].encode()) for a in map(" ".join, zip(*(words[i:] for i in range(SHINGLE))))}
-    return np.fromiter((x - (1 << 63) for x in made), np.int64, len(made))
+    n = len(words) - SHINGLE + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    codes = {w: zlib.crc32(b) << 32 | zlib.crc32(b[::-1]) for w, b in ((w, w.encode()) for w in set(words))}
+    x = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)) * _MIX
+    x = (x ^ x >> np.uint64(31)) * _MIX
+    made = x[:n]
+    for i in range(1, SHINGLE):
+        made = (made ^ made >> np.uint64(29)) * _MIX + x[i : n + i]
+    return np.unique(made.view(np.int64))
 
 
 class KnownTexts:

@@ -132,7 +132,9 @@ def posting_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def skip_reasons(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", trigrams.skip_reason(F.col("text")).alias("reason"))
+    """The reasons as the index gives them, the number of trigrams included; its SQL
+    doesn't count trigrams."""
+    return trigrams.analyzed(_docs(spark, d), "doc_id", "text").select("doc_id", "reason")
 
 
 def index_stats(spark: SparkSession, d: str) -> DataFrame:

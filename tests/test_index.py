@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import search_queries
 from tessera.functions import trigrams
 from tessera.runtime import SharedFolder, shared_dir
 from tessera.sources import index
@@ -53,6 +54,16 @@ def test_too_many_trigrams():
     assert trigrams.analyze(text)[0] == trigrams.TOO_MANY
 
 
+def test_skip_reasons_are_those_of_the_index(spark, tmp_path):
+    many = "".join(f"{chr(65 + a)}{chr(97 + b)}{chr(48 + c)}\n" for a in range(26) for b in range(26) for c in range(40))
+    texts = [many, many.replace("\n", ""), "short", "", None, "a\0b"]
+    docs = spark.createDataFrame([(i, t, f"a{i}.txt") for i, t in enumerate(texts)], "doc_id long, text string, path string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.reason for r in search_queries.skip_reasons(spark, str(tmp_path)).collect()}
+    assert got == {0: trigrams.TOO_MANY, 1: trigrams.LONG_LINE, 2: None, 3: None, 4: trigrams.UNREADABLE, 5: trigrams.BINARY}
+    assert got == {r.doc_id: r.reason for r in search_queries._grams(spark, str(tmp_path)).collect()}
+
+
 def test_built_in_trigrams_agree(spark):
     df = spark.createDataFrame([(1, "hello"), (2, "naïve ünï"), (3, "hi"), (4, ""), (5, None), (6, "aaaaaa")], "id int, t string")
     got = {r.id: r.g for r in df.select("id", trigrams.trigram_array(F.col("t")).alias("g")).collect()}

@@ -58,6 +58,9 @@ _LEXERS = {
     "dash": re.compile(r"(?P<note>--[^\n]*|/\*(?:.|\n)*?\*/)" + _LITERALS),
 }
 _IMPORTS = {"import", "use", "from", "package", "include", "using", "require", "mod", "extern"}
+#: Lines of the preprocessor that tell nothing of layout; a #define does, with its remark.
+_DIRECTIVE = ["#"]
+_CONDITIONS = {"include", "import", "if", "ifdef", "ifndef", "elif", "elifdef", "elifndef", "else", "endif", "pragma", "undef", "error", "warning", "line"}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SHINGLE_WORD = re.compile(r"\w+|[^\w\s]")
 
@@ -104,15 +107,18 @@ def layout(text: str, style: str) -> dict[str, float]:
         elif kind == "word":
             code += len(tok)
             words_at.add(len(per_line))
-            per_line[-1].append(tok if tok in _IMPORTS and not per_line[-1] else "w")
+            at = per_line[-1]
+            at.append(tok if (tok in _IMPORTS if not at else at == _DIRECTIVE and tok in _CONDITIONS) else "w")
         elif kind == "blank" and not per_line[-1]:
             indents[tok] += 1
+        elif kind == "note" and per_line[-1][:1] == _DIRECTIVE:
+            per_line[-1].append("/**/")
         elif kind == "mark":
             code += 1
             canonical += tok in ";{}"
             per_line[-1].append(tok)
     lines = [x for x in per_line if x]
-    shapes = Counter("".join(x) for x in lines if x[0] not in _IMPORTS and not (x[0] == "#" and len(x) > 1 and x[1] in ("w", "include")) and len(x) > 2)
+    shapes = Counter("".join(x) for x in lines if x[0] not in _IMPORTS and not (x[0] == "#" and len(x) > 1 and x[1] in _CONDITIONS) and len(x) > 2)
     top = shapes.most_common(2)
     n = sum(shapes.values())
     return {

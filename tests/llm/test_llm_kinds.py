@@ -59,6 +59,14 @@ def test_kinds(name, text, path, want):
         assert kinds.kinds_of(text.replace("\n", "\r\n"), path, None) == want
 
 
+def test_defines_show_uniform_layout():
+    macros = "\n".join(f"#define {a.upper()}_{b.upper()} (0x{i:06x}) /* {a}{b} */" for i, (a, b) in enumerate(zip(NAMES, NAMES[3:]))) + "\n"
+    assert kinds.kinds_of(macros, "src/a.c", "c") == {"generated"}
+    assert kinds.kinds_of("#ifndef A_H\n#define A_H\n#include <b.h>\n" + macros * 4 + "#endif\n", "src/a.h", "c") == {"generated"}
+    assert kinds.kinds_of("".join(f"#define {n.upper()} {i}\n" for i, n in enumerate(NAMES)), "src/a.h", "c") == set()
+    assert kinds.kinds_of("".join(f"#include <{n}/{n}.h> /* {n} */\n" for n in NAMES) + "#ifdef A\n" + code(), "src/a.c", "c") == set()
+
+
 def test_minified_with_its_licence_kept():
     assert kinds.kinds_of("/*! lib v1.2 */\n" + minified(), "src/app.min.js", "javascript") == {"minified"}
 

@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.paths import resolved
-from tessera.operators.intervals import in_sequence, processed_sequence
-from tessera.runtime import materialize, spread
+from tessera.operators.intervals import Interval, Ledger, in_sequence, process_new, processed_sequence
+from tessera.runtime import fresh_path, materialize, spread
 
 
 def listings(entries: DataFrame, sequence: DataFrame) -> DataFrame:
@@ -59,11 +59,52 @@ def snapshot_changes(entries: DataFrame, snapshots: DataFrame) -> DataFrame:
     return consecutive_changes(listings(entries, sequence), sequence)
 
 
+def refresh_new(ledger: Ledger, entries: DataFrame, snapshots: DataFrame, stamps: DataFrame) -> list[Interval]:
+    """Handle the indexed snapshots that ``ledger`` doesn't have as done, and commit their
+    rows with the merged intervals of snap_id. Returns what was processed.
+
+    A snapshot indexed late is a gap; it becomes the base of the one after it, which is
+    then handled anew. Only the listings of those handled and of their bases are read. The
+    output is (snap_id, path), and a row without a path for each snapshot handled, so that
+    the last handling counts, rows or none.
+    """
+    sequence = materialize(processed_sequence(snapshots, stamps), "sequence")
+
+    def work(fresh: DataFrame) -> DataFrame:
+        touched = fresh.select("root_ord", F.explode(F.array("seq", F.col("seq") + 1)).alias("seq")).distinct()
+        targets = materialize(sequence.join(touched, ["root_ord", "seq"], "left_semi"), "targets")
+        read = targets.select("root_ord", F.explode(F.array("seq", F.col("seq") - 1)).alias("seq")).distinct()
+        changes = consecutive_changes(listings(entries, sequence.join(read, ["root_ord", "seq"], "left_semi")), targets)
+        rows = changes.filter(F.col("change") != "removed").select("snap_id", "path")
+        return rows.unionByName(targets.select("snap_id", F.lit(None).cast("string").alias("path")))
+
+    return process_new(ledger, sequence, "snap_id", work)
+
+
+def refreshed(ledger: Ledger, entries: DataFrame) -> DataFrame:
+    """(snap_id, path): what the runs of ``refresh_new`` have committed; of a snapshot
+    handled more than once, the last handling."""
+    outputs = ledger.read().outputs
+    if not outputs:
+        return entries.select("snap_id", F.col("path").cast("string")).limit(0)
+    spark = ledger.spark
+    rows = spark.read.parquet(*outputs)
+    if len(outputs) > 1:
+        runs = spark.createDataFrame([(o.rsplit("/", 1)[-1], i) for i, o in enumerate(outputs)], "folder string, run int")
+        rows = rows.withColumn("folder", F.element_at(F.split("_metadata.file_path", "/"), -2)).join(F.broadcast(runs), "folder")
+        last = rows.filter("path IS NULL").groupBy("snap_id").agg(F.max("run").alias("run"))
+        rows = rows.join(last, ["snap_id", "run"], "left_semi")
+    return rows.filter("path IS NOT NULL").select("snap_id", "path")
+
+
 def refresh_rows(entries: DataFrame, snapshots: DataFrame, stamps: DataFrame) -> DataFrame:
     """(snap_id, path): for each indexed snapshot, the files that a refresh must handle:
     new, or differing, against the listing indexed last before it. Snapshots that were
     never indexed are neither base nor target, so that failed runs skip nothing and
-    repeated ones add nothing. The first indexed snapshot of a root has no base."""
-    sequence = materialize(processed_sequence(snapshots, stamps), "sequence")
-    changes = consecutive_changes(listings(entries, sequence), sequence)
-    return changes.filter(F.col("change") != "removed").select("snap_id", "path")
+    repeated ones add nothing. The first indexed snapshot of a root has no base.
+
+    It is one run of ``refresh_new`` over a ledger that has nothing done yet."""
+    spark = entries.sparkSession
+    ledger = Ledger(spark, fresh_path(spark, "refresh"))
+    refresh_new(ledger, entries, snapshots, stamps)
+    return refreshed(ledger, entries)

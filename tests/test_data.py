@@ -188,6 +188,22 @@ def test_refresh_rows(spark):
     assert order == {1: 1, 3: 2, 5: 3}
 
 
+def test_refresh_handles_only_what_is_new_and_late(spark):
+    s = snaps(spark, [(i, i // 10, T0.format(i % 10 + 1), f"A{i}") for i in (1, 2, 3, 4, 5, 11, 12)])
+    stamped = lambda *ids: spark.createDataFrame([(i, f"a{i}") for i in ids], "snap_id long, fingerprint string")
+    rows = entries(spark, [(i, p, n, 1, 0, None) for i, p, n in [(1, "/a", 1), (2, "/a", 1), (2, "/b", 1), (3, "/a", 1), (3, "/b", 1), (4, "/a", 2), (4, "/b", 1), (5, "/b", 3), (11, "/a", 1), (12, "/a", 1), (12, "/z", 1)]])
+    ledger = intervals.Ledger(spark, fresh_path(spark, "refresh"))
+    assert snapdiff.refreshed(ledger, rows).count() == 0
+    told = []
+    for ids in [(1, 3), (1, 3), (1, 3, 4, 11), (1, 2, 3, 4, 11), (1, 2, 3, 4, 5, 11, 12)]:
+        told.append(snapdiff.refresh_new(ledger, rows, s, stamped(*ids)))
+        got = sorted(tuple(r) for r in snapdiff.refreshed(ledger, rows).collect())
+        assert got == sorted(tuple(r) for r in snapdiff.refresh_rows(rows, s, stamped(*ids)).collect())
+    assert told == [[(1, 1), (3, 3)], [], [(4, 4), (11, 11)], [(2, 2)], [(5, 5), (12, 12)]]
+    assert got == [(2, "/b"), (4, "/a"), (5, "/b"), (12, "/z")]  # 3 lost its row when 2 came between
+    assert ledger.read().done == ((1, 5), (11, 12))
+
+
 def test_changes_against_brute_force(spark):
     rng = random.Random(3)
     s = snaps(spark, [(i, i % 2, T0.format(1 + i // 2), str(i)) for i in range(10)])

@@ -13,11 +13,13 @@ form, one statement to a line; then its own layout is held against that:
   altered, of a known library file (shingles of five words, containment of 0.8 or more).
 
 A file that only mentions such things stays what it is: notices count only as comments
-within the head, in forms that state the fact and don't deny it.
+within the head (the first lines, and all before the first code), in forms that state
+the fact and don't deny it.
 """
 
 from __future__ import annotations
 
+import io
 import re
 import zlib
 from collections import Counter
@@ -50,6 +52,9 @@ THIRD_NOTICE = re.compile(r"\bvendored from\b|\bbundled copy of\b|\bthird[- ]par
 DENIAL = re.compile(r"not generated|used to be|hand-?written|by hand since|no longer|not vendored|instead of the (vendored|generated)|replacement for", re.I)
 COMMENT = re.compile(r"\s*(//|#(?!include|define|if|endif|pragma|\[|!\[)|--|/\*|\*|<!--|;;|%|>)")
 _MARKS = re.compile(r"^[\s/*#<!;%>-]+|[\s*/>-]+$")
+#: Block comments closed within their line, and what prose only cites.
+_CLOSED = re.compile(r"(?:\s*/\*.*?\*/)+(?:\s*//.*)?")
+_QUOTED = re.compile(r"`[^`]*`|\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」")
 
 _LITERALS = r'|(?P<lit>"""(?:.|\n)*?"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`[^`]*`|(?<!\w)\d[\w.]*)|(?P<word>[^\W\d]\w*)|(?P<line>\n)|(?P<blank>[^\S\n]+)|(?P<mark>.)'
 _LEXERS = {
@@ -66,6 +71,7 @@ _SHINGLE_WORD = re.compile(r"\w+|[^\w\s]")
 
 #: Texts with fewer characters than this, blanks aside, are nobody's case.
 TINY = 40
+_ENOUGH = re.compile(r"(?:\s*+\S){%d}" % TINY)
 HEAD_LINES = 20
 EXPANSION = 8.0
 DENSE = 120
@@ -136,24 +142,49 @@ def layout(text: str, style: str) -> dict[str, float]:
 
 
 def _head_comments(text: str) -> Iterator[str]:
-    inside = False
-    for line in text[: 400 * HEAD_LINES].split("\n")[:HEAD_LINES]:
+    """The comments in the first lines, and all before the first code, however long."""
+    inside = block = code = False
+    at = n = 0
+    while at <= len(text) and (n < HEAD_LINES or not code):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line, at, n = text[at:end], end + 1, n + 1
+        note = COMMENT.match(line)
+        if note or (inside if n <= HEAD_LINES else block):
+            own = _CLOSED.match(line) if note else re.match(r".*?\*/", line)
+            yield own[0] if own else line
+        code = code or not (note or block or not line.strip() or line.startswith(("#!", "<?")))
         opens = "/*" in line and "*/" not in line
-        if inside or COMMENT.match(line):
-            yield line
         inside = (inside or opens) and "*/" not in line
+        block = (block or opens and line.lstrip().startswith("/*")) and "*/" not in line
 
 
-def _stated(text: str, notice: re.Pattern, style: str) -> bool:
-    lines = _head_comments(text) if style != "prose" else iter(text[:400].split("\n")[:1])
-    return any(notice.search(x) and not DENIAL.search(x) for x in lines)
+def _head_prose(text: str) -> Iterator[str]:
+    """The first line, then titles, quotes and remarks up to the first paragraph, and all
+    of that; what stands in quotation marks is only mentioned."""
+    begun = remark = False
+    for n, line in enumerate(io.StringIO(text)):
+        x = line.strip()
+        if begun and not x:
+            return
+        remark = remark or x.startswith("<!--")
+        begun = begun or bool(x) and not remark and not x.startswith(("#", ">", "===", "---"))
+        remark = remark and "-->" not in x
+        yield _QUOTED.sub("", x) if n else x
 
 
-def _states_generated(text: str, style: str) -> bool:
+def _head(text: str, style: str) -> list[str]:
+    return list(_head_prose(text) if style == "prose" else _head_comments(text))
+
+
+def _stated(head: list[str], notice: re.Pattern) -> bool:
+    return any(notice.search(x) and not DENIAL.search(x) for x in head)
+
+
+def _states_generated(head: list[str]) -> bool:
     """In the fixed forms, or in others that say so in one head comment or two on end."""
-    if _stated(text, GENERATED_NOTICE, style):
+    if _stated(head, GENERATED_NOTICE):
         return True
-    head = list(_head_comments(text)) if style != "prose" else text[:400].split("\n")[:1]
     if not may_say_so("\n".join(head)):
         return False
     lines = [_MARKS.sub("", x).strip() for x in head]
@@ -163,15 +194,16 @@ def _states_generated(text: str, style: str) -> bool:
 
 def kinds_of(text: str | None, path: str | None, lang: str | None) -> set[str]:
     """The kinds that the file itself shows; copies of known texts are found elsewhere."""
-    if not text or len("".join(text[: 64 * TINY].split())) < TINY:
+    if not text or not _ENOUGH.match(text):
         return set()
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     path = path or ""
     style = style_of(path, lang)
+    head = _head(text, style)
     out = set()
-    if LOCK_NAME.search(path) or GENERATED_PLACE.search(path) or _states_generated(text, style):
+    if LOCK_NAME.search(path) or GENERATED_PLACE.search(path) or _states_generated(head):
         out.add("generated")
-    if THIRD_PLACE.search(path) or _stated(text, THIRD_NOTICE, style):
+    if THIRD_PLACE.search(path) or _stated(head, THIRD_NOTICE):
         out.add("third_party")
     if style == "prose":
         return out

@@ -67,6 +67,32 @@ def test_defines_show_uniform_layout():
     assert kinds.kinds_of("".join(f"#include <{n}/{n}.h> /* {n} */\n" for n in NAMES) + "#ifdef A\n" + code(), "src/a.c", "c") == set()
 
 
+LICENCE = "".join(f"// line {i} of a long licence that grants this and that to whoever may hold a copy of the software, as it is\n" for i in range(150))
+NOTICE = "Code generated by toolgen v1 from a.proto. DO NOT EDIT."
+
+
+def test_heads_of_any_length():
+    assert kinds.kinds_of(LICENCE + f"// {NOTICE}\n" + code(), "src/a.js", None) == {"generated"}
+    assert kinds.kinds_of("/*\n" + LICENCE.replace("//", " *") + " */\n\n// Vendored from somelib 1.2\n" + code(), "src/a.js", None) == {"third_party"}
+    assert kinds.kinds_of("#!/bin/sh\n" + LICENCE.replace("//", "#") + f"# {NOTICE}\n" + "x=reader\n" * 9, "src/a.sh", None) == {"generated"}
+    assert kinds.kinds_of(LICENCE + code(30) + f"// {NOTICE}\n" + code(), "src/a.js", None) == set()
+    assert kinds.kinds_of("# see lib/*\n" + "x = reader(1)\n" * 30 + f"emit('{NOTICE}')\n", "src/a.py", None) == set()
+    assert kinds.kinds_of(f"/* mine */ emit('{NOTICE}');\n" + code(), "src/a.js", None) == set()
+
+
+def test_heads_of_prose():
+    words = "Word after word without any code. " * 9
+    assert kinds.kinds_of(f"# Title\n{NOTICE}\n\n{words}", "a.md", None) == {"generated"}
+    assert kinds.kinds_of(f"# Title\n\n<!--\n{NOTICE}\n-->\n{words}", "a.md", None) == {"generated"}
+    assert kinds.kinds_of(f"# Title\n{words}\n\nOthers say:\n{NOTICE}\n", "a.md", None) == set()
+    assert kinds.kinds_of(f"# Title\nFiles that begin with `{NOTICE}` are left alone.\n{words}", "a.md", None) == set()
+
+
+def test_a_blank_head_is_not_tiny():
+    assert kinds.kinds_of(" " * 3000 + "\n" + code(), "/r/vendor/a.js", None) == {"third_party"}
+    assert kinds.kinds_of(" " * 100_000 + "x = 1\n", "/r/vendor/a.js", None) == set()
+
+
 def test_minified_with_its_licence_kept():
     assert kinds.kinds_of("/*! lib v1.2 */\n" + minified(), "src/app.min.js", "javascript") == {"minified"}
 

@@ -3,7 +3,7 @@
 Each file is lexed (comments, literals, words, marks) and laid out anew in a canonical
 form, one statement to a line; then its own layout is held against that:
 
-* minified: the canonical form has many times the file's lines (extreme expansion);
+* minified: the canonical form breaks each of the file's lines many times (extreme expansion);
 * generated: nearly all lines lex to one or two long shapes, evenly indented (perfect
   uniformity), or the
   file says so in a comment at its head, or has a name that generators give;
@@ -75,6 +75,8 @@ _ENOUGH = re.compile(r"(?:\s*+\S){%d}" % TINY)
 HEAD_LINES = 20
 EXPANSION = 8.0
 DENSE = 120
+#: Characters, marks and words, of a line in the canonical form.
+WIDTH = 100
 UNIFORM_LINES = 5
 UNIFORM_SHAPE = 8
 LITERAL_SHARE = 0.7
@@ -97,21 +99,30 @@ def style_of(path: str | None, lang: str | None) -> str:
 
 def layout(text: str, style: str) -> dict[str, float]:
     """What lexing says: code lines, characters per code line, canonical lines per code
-    line, share of literals, lines with words, and how uniform the lines are."""
+    line, share of literals, lines with words, and how uniform the lines are.
+
+    The canonical form breaks after each statement, brace, and comma outside of
+    parentheses (of joined statements, or members), and before a word that would pass
+    ``WIDTH``, literals aside. Its lines are counted as they arise, its text isn't kept."""
     per_line: list[list[str]] = [[]]
     indents: Counter = Counter()
-    literal = code = canonical = 0
+    literal = code = canonical = width = 0
+    open_at: list[str] = []
     words_at: set[int] = set()
     for m in _LEXERS[style].finditer(text):
         kind, tok = m.lastgroup, m[0]
         if kind == "line":
             per_line.append([])
+            width = 0
         elif kind == "lit":
             literal += len(tok)
             code += len(tok)
             per_line[-1].append("n" if tok[0].isdigit() else "s")
         elif kind == "word":
             code += len(tok)
+            width += len(tok) + 1
+            if width > WIDTH:
+                canonical, width = canonical + 1, len(tok)
             words_at.add(len(per_line))
             at = per_line[-1]
             at.append(tok if (tok in _IMPORTS if not at else at == _DIRECTIVE and tok in _CONDITIONS) else "w")
@@ -121,7 +132,13 @@ def layout(text: str, style: str) -> dict[str, float]:
             per_line[-1].append("/**/")
         elif kind == "mark":
             code += 1
-            canonical += tok in ";{}"
+            width += 1
+            if tok in "([{":
+                open_at.append(tok)
+            elif tok in ")]}" and open_at:
+                open_at.pop()
+            if tok in ";{}" or tok == "," and style == "slash" and not (open_at and open_at[-1] in "(["):
+                canonical, width = canonical + 1, 0
             per_line[-1].append(tok)
     lines = [x for x in per_line if x]
     shapes = Counter("".join(x) for x in lines if x[0] not in _IMPORTS and not (x[0] == "#" and len(x) > 1 and x[1] in _CONDITIONS) and len(x) > 2)

@@ -93,6 +93,17 @@ def test_a_blank_head_is_not_tiny():
     assert kinds.kinds_of(" " * 100_000 + "x = 1\n", "/r/vendor/a.js", None) == set()
 
 
+def test_minified_without_semicolons_and_braces():
+    commas = ",".join(f"{a[0]}{i}={b[0]}.{a[1]}({b[1]},{i})||!{a[2]}" for i, (a, b) in enumerate(zip(NAMES * 9, NAMES[3:] * 9)))
+    assert kinds.kinds_of(f"var {commas}\n", "src/a.js", None) == {"minified"}
+    joined = " if ".join(f"{a}({b}.{a} and not {b})" for a, b in zip(NAMES * 9, NAMES[3:] * 9))
+    assert kinds.kinds_of(f"x = {joined}\n", "src/a.py", None) == {"minified"}
+    call = "    return reader(bucket, engine, queue, timer, ledger, socket, valley, packet, writer, reader + 1, bucket * engine, queue)\n"
+    assert kinds.kinds_of(code(6) + call * 3 + code(6, 1), "src/a.js", None) == set()
+    wide = "SELECT " + ", ".join(f"{a}.{b}" for a, b in zip(NAMES * 2, NAMES[3:] * 2)) + " FROM reader\n"
+    assert kinds.kinds_of(wide * 3, "a.sql", None) == set()
+
+
 def test_minified_with_its_licence_kept():
     assert kinds.kinds_of("/*! lib v1.2 */\n" + minified(), "src/app.min.js", "javascript") == {"minified"}
 

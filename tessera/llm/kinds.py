@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -285,7 +285,7 @@ def _judge(known: KnownTexts | None) -> Callable[[Iterator[pa.RecordBatch]], Ite
                     kinds = kinds | {"third_party"}
                 for f in _FIELDS:
                     flags[f].append(f in kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(flags[f], pa.bool_()) for f in _FIELDS)], names=["key", *_FIELDS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(flags[f], pa.bool_()) for f in _FIELDS)], names=["row", *_FIELDS])
 
     return run
 
@@ -298,18 +298,24 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.concatenate([*each, np.zeros(0, np.int64)])), pa.array(n[at])], names=["key", "hash", "size"])
 
 
+def _digest() -> Column:
+    return F.unhex(F.sha2("text", 256))
+
+
 def copies_by_join(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Keys of ``docs`` (key, text) that copy one of ``items`` (item_id, text): the same
-    test as ``KnownTexts`` where the known texts are too large for each task."""
-    def rows(df: DataFrame, key: str) -> DataFrame:
-        schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("hash", T.LongType()), T.StructField("size", T.LongType())])
-        return df.select(F.col(key).alias("key"), "text").mapInArrow(_shingle_rows, schema)
-
-    own = rows(docs, "key")
-    known = rows(items, "item_id").select(F.col("key").alias("item"), F.col("hash"), F.col("size").alias("known"))
+    """Digests of those texts of ``docs`` that copy a text of ``items``: the same test as
+    ``KnownTexts`` where the known texts are too large for each task. Whether a text is a
+    copy depends on the text alone, so each distinct one counts once, whatever its key."""
+    def rows(df: DataFrame) -> DataFrame:
+        schema = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("hash", T.LongType()), T.StructField("size", T.LongType())])
+        texts = df.filter(F.col("text").isNotNull()).select(_digest().alias("key"), "text").dropDuplicates(["key"])
+        return texts.mapInArrow(_shingle_rows, schema)
+
+    own = rows(docs)
+    known = rows(items).select(F.col("key").alias("item"), F.col("hash"), F.col("size").alias("known"))
     least = F.least("size", "known")
     pairs = own.join(known, "hash").groupBy("key", "item", "size", "known").agg(F.count(F.lit(1)).alias("shared"))
-    return pairs.filter((F.col("shared") >= CONTAINED * least) & (least >= LEAST_SHINGLES)).select("key").distinct()
+    return pairs.filter((F.col("shared") >= CONTAINED * least) & (least >= LEAST_SHINGLES)).select(F.col("key").alias("digest")).distinct()
 
 
 def source_kinds(df: DataFrame, items: DataFrame, key: str = "doc_id", known_bytes: int = KNOWN_BYTES) -> DataFrame:
@@ -323,12 +329,13 @@ def source_kinds(df: DataFrame, items: DataFrame, key: str = "doc_id", known_byt
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     small = size <= known_bytes
     known = KnownTexts([(r.item_id, r.text) for r in items.select("item_id", "text").collect()]) if small else None
-    schema = T.StructType([T.StructField("key", df.schema[key].dataType), *(T.StructField(f, T.BooleanType()) for f in _FIELDS)])
-    rows = spread(df.select(F.col(key).alias("key"), "text", "path", "lang"))
-    judged = rows.mapInArrow(_judge(known), schema)
+    rows = spread(df.select(F.struct(F.col(key).alias("key"), (F.lit(None).cast("binary") if small else _digest()).alias("digest")).alias("row"), "text", "path", "lang"))
+    schema = T.StructType([T.StructField("row", rows.schema["row"].dataType), *(T.StructField(f, T.BooleanType()) for f in _FIELDS)])
+    judged = rows.mapInArrow(_judge(known), schema).select("row.key", "row.digest", *_FIELDS)
     if not small:
-        copies = copies_by_join(rows.select("key", "text"), items).withColumn("copy", F.lit(True))
-        judged = judged.join(copies, "key", "left").withColumn("third_party", F.col("third_party") | F.coalesce("copy", F.lit(False))).drop("copy")
+        copies = copies_by_join(rows.select("text"), items).withColumn("copy", F.lit(True))
+        judged = judged.join(copies, "digest", "left").withColumn("third_party", F.col("third_party") | F.coalesce("copy", F.lit(False)))
+    judged = judged.select("key", *_FIELDS)
     return judged.withColumnRenamed("key", key)
 
 

@@ -133,3 +133,16 @@ def test_copies(spark):
     assert {r.doc_id for r in kinds.not_hand_written(df, items).collect()} == want
     assert kinds.source_kinds(df.filter("false"), items).count() == 0
     assert {r.doc_id for r in kinds.source_kinds(df, items.filter("false")).filter("third_party").collect()} == set()
+
+
+def test_copies_with_null_and_repeated_keys(spark):
+    known = code(80, 11)
+    half = altered(known, 2)  # too far from it, unless shingles count twice
+    docs = [(None, known), (None, half), (1, known), (2, half), (2, half), (3, known), (3, code(80, 99)), (None, None), (4, "")]
+    df = spark.createDataFrame([(k, t, "src/a.js", None) for k, t in docs], "doc_id long, text string, path string, lang string")
+    items = spark.createDataFrame([(7, known, "p"), (7, known, "q"), (None, known, "r"), (None, None, "s")], "item_id long, text string, path string")
+    told = []
+    for limit in (kinds.KNOWN_BYTES, 0):
+        rows = kinds.source_kinds(df, items, known_bytes=limit).collect()
+        told.append(sorted(((r.doc_id or 0), r.third_party) for r in rows))
+    assert told[0] == told[1] == sorted([(0, True), (0, False), (1, True), (2, False), (2, False), (3, True), (3, False), (0, False), (4, False)])

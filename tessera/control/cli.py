@@ -92,7 +92,7 @@ def search(index: Index, args: argparse.Namespace, out=sys.stdout, err=sys.stder
         out.flush()
     except BrokenPipeError:
         return MATCHED  # the reader has had enough
-    lost = index.lost_files(index.candidate_files(args.regexp, args.ignore_case, args.brute, args.file_regexp)).first()
+    lost = index.lost_files(index.found_files(args.regexp, args.ignore_case, args.brute, args.file_regexp)).first()
     if lost.missing:
         print(f"{lost.missing} indexed file(s) no longer exist; refresh the index", file=err)
     if lost.unreadable:

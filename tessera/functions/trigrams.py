@@ -68,6 +68,64 @@ def analyzed(df: DataFrame, key: str, content: str, max_line: int = MAX_LINE_BYT
     return df.select(F.col(key).alias("key"), F.col(content).cast("binary").alias("content")).mapInArrow(_analyzer(max_line, max_trigrams), schema).withColumnRenamed("key", key)
 
 
+#: Postings put together at a time, and ids in one list at most.
+GROUPED, LISTED = 4_000_000, 1 << 16
+
+
+def _grouped(ids: np.ndarray, sizes: np.ndarray, grams: np.ndarray, listed: int) -> pa.RecordBatch:
+    """Lists of ascending ids per trigram."""
+    order = np.argsort(ids, kind="stable")
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.arange(len(ids))
+    code = np.sort(grams.astype(np.int64) << 32 | np.repeat(rank, sizes))
+    grams, owner = (code >> 32).astype(np.int32), ids[order][code & 0xFFFFFFFF]
+    new = np.flatnonzero(np.diff(grams, prepend=-1))
+    n = np.diff(np.append(new, len(grams)))
+    if len(n) and n.max() > listed:
+        new = np.concatenate([np.arange(a, a + k, listed) for a, k in zip(new, n)])
+    cuts = np.append(new, len(grams)).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(owner, pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(grams[new], pa.int32()), pa.array(owner[new], pa.int64()), pa.array(np.diff(cuts), pa.int32()), lists], names=["trigram", "first", "n", "ids"])
+
+
+def _lister(grouped: int, listed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            sizes = np.concatenate([np.diff(b.column(1).offsets.to_numpy()) for b in held])
+            grams = np.concatenate([b.column(1).flatten().to_numpy() for b in held])
+            ids = np.concatenate([b.column(0).to_numpy() for b in held])
+            made = _grouped(ids, sizes, grams, listed)
+            for at in range(0, made.num_rows, 20_000):
+                yield made.slice(at, 20_000)
+
+        for batch in batches:
+            held.append(batch)
+            size += len(batch.column(1).flatten())
+            if size >= grouped:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+
+    return run
+
+
+LISTS = T.StructType([T.StructField("trigram", T.IntegerType()), T.StructField("first", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("ids", T.ArrayType(T.LongType()))])
+
+
+def posting_lists(grams: DataFrame, key: str, grouped: int = GROUPED, listed: int = LISTED) -> DataFrame:
+    """(trigram, first, n, ids): of (key, grams), lists of at most ``listed`` ascending keys.
+
+    Each task puts its own texts' postings together first, ``grouped`` at a time, so that
+    what is moved is lists, far fewer than postings; a trigram that a third of all texts
+    hold has many lists. Rows without a key or without trigrams give nothing.
+    """
+    rows = grams.filter(F.col(key).isNotNull() & (F.size("grams") > 0)).select(F.col(key).cast("long"), "grams")
+    return rows.mapInArrow(_lister(grouped, listed), LISTS)
+
+
 def skip_reason(content: Column, max_line: int = MAX_LINE_BYTES) -> Column:
     """The reason as a column of built-ins, but for the number of trigrams. In the order
     of precedence; null where nothing speaks against the content."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,17 +45,19 @@ def _with_text(texts: DataFrame, content: str) -> DataFrame:
     return texts.withColumnRenamed(content, "_text").filter(F.col("_text").isNotNull())
 
 
-def _looped(node: hir.Node, lines: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _looped(node: hir.Node, lines: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     source = to_python(node)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pattern = re.compile(source)
         for batch in batches:
+            keys, texts = batch.column(0), batch.column(1).to_pylist()
             if lines:
-                rows = [(k, n, t[a:b]) for k, t in zip(batch["_key"], batch["_text"]) for n, a, b in hits(pattern, t)]
-                yield pd.DataFrame(rows, columns=["_key", "line_no", "line"])
+                rows = [(i, n, t[a:b]) for i, t in enumerate(texts) for n, a, b in hits(pattern, t)]
+                at, no, line = (list(x) for x in zip(*rows)) if rows else ([], [], [])
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), pa.array(no, pa.int64()), pa.array(line, pa.string())], names=["_key", "line_no", "line"])
             else:
-                yield pd.DataFrame({"_key": batch["_key"], "n": [sum(1 for _ in hits(pattern, t)) for t in batch["_text"]]})
+                yield pa.RecordBatch.from_arrays([keys, pa.array([sum(1 for _ in hits(pattern, t)) for t in texts], pa.int64())], names=["_key", "n"])
 
     return run
 
@@ -75,7 +77,7 @@ def matching_lines(texts: DataFrame, pattern: str, key: str, content: str, ignor
         each = rows.select("_key", F.posexplode(_lines_of(F.col("_text"))).alias("at", "line"))
         return each.filter(test(F.col("line"))).select(F.col("_key").alias(key), (F.col("at") + 1).cast("long").alias("line_no"), "line")
     schema = T.StructType([T.StructField("_key", texts.schema[key].dataType), T.StructField("line_no", T.LongType()), T.StructField("line", T.StringType())])
-    return rows.filter(F.col("_text").rlike(java)).mapInPandas(_looped(node, True), schema).withColumnRenamed("_key", key)
+    return rows.filter(F.col("_text").rlike(java)).mapInArrow(_looped(node, True), schema).withColumnRenamed("_key", key)
 
 
 def match_counts(texts: DataFrame, pattern: str, key: str, content: str, ignore_case: bool = False) -> DataFrame:
@@ -87,7 +89,7 @@ def match_counts(texts: DataFrame, pattern: str, key: str, content: str, ignore_
         counted = rows.select(F.col("_key"), F.size(F.filter(_lines_of(F.col("_text")), _line_test(java))).cast("long").alias("n"))
     else:
         schema = T.StructType([T.StructField("_key", texts.schema[key].dataType), T.StructField("n", T.LongType())])
-        counted = rows.filter(F.col("_text").rlike(java)).mapInPandas(_looped(node, False), schema)
+        counted = rows.filter(F.col("_text").rlike(java)).mapInArrow(_looped(node, False), schema)
     return counted.filter("n > 0").withColumnRenamed("_key", key)
 
 

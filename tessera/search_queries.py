@@ -13,11 +13,12 @@ from tessera.functions import trigrams
 from tessera.operators import grep, intervals, roots, snapdiff
 from tessera.plans import hir
 from tessera.plans.analyze import regexp_query
-from tessera.plans.candidates import candidates
+from tessera.plans.candidates import GramCounts, candidates, choose
 from tessera.runtime import fresh_path, materialize, spread, table
 from tessera.sources import index, listing
 
 Query = Callable[[SparkSession, str], DataFrame]
+TEXTS_STORED = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(128 << 10), "parquet.page.row.count.limit": "200"}
 _KEPT: dict[tuple[str, str, str], object] = {}
 
 
@@ -38,9 +39,11 @@ def _grams(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _postings(spark: SparkSession, d: str) -> DataFrame:
+    """Lists (trigram, first, n, ids), sorted."""
+
     def make() -> DataFrame:
-        rows = index.posting_rows(_grams(spark, d), "doc_id")
-        return materialize(rows.repartitionByRange("trigram", "doc_id").sortWithinPartitions("trigram", "doc_id"), "doc-postings")
+        lists = index.sorted_lists(_grams(spark, d).filter("reason IS NULL"), "doc_id", "doc-lists")
+        return materialize(lists, "doc-postings", **index.STORED)
 
     return _once(spark, d, "postings", make)
 
@@ -49,8 +52,27 @@ def _counts(spark: SparkSession, d: str) -> DataFrame:
     return _once(spark, d, "counts", lambda: materialize(index.gram_counts(_postings(spark, d)), "doc-counts"))
 
 
+def _lookup(spark: SparkSession, d: str) -> GramCounts:
+    return _once(spark, d, "lookup", lambda: GramCounts(_counts(spark, d)))
+
+
 def _indexed(spark: SparkSession, d: str) -> DataFrame:
-    return _grams(spark, d).filter("reason IS NULL").select("doc_id")
+    return _once(spark, d, "indexed", lambda: materialize(_grams(spark, d).filter("reason IS NULL").select("doc_id"), "doc-indexed"))
+
+
+def _n_indexed(spark: SparkSession, d: str) -> int:
+    return _once(spark, d, "n-indexed", lambda: _indexed(spark, d).count())
+
+
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """The indexed texts, sorted by doc_id in ranges and in small pages, so that a scan for
+    a few of them passes over most."""
+
+    def make() -> DataFrame:
+        rows = table(spark, d, "documents").select("doc_id", "text", "path").join(_indexed(spark, d), "doc_id", "left_semi")
+        return materialize(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id"), "doc-texts", **TEXTS_STORED)
+
+    return _once(spark, d, "texts", make)
 
 
 def _store(spark: SparkSession, d: str) -> index.Index:
@@ -67,10 +89,11 @@ def _contents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _found(spark: SparkSession, d: str, pattern: str, ignore_case: bool = False, name: str | None = None) -> DataFrame:
-    """The candidates of a search with their texts."""
-    ids = candidates(_postings(spark, d), regexp_query(pattern, ignore_case), _indexed(spark, d), _counts(spark, d), "doc_id")
-    docs = table(spark, d, "documents").select("doc_id", "text", "path")
-    return spread((grep.name_filter(docs, name) if name else docs).join(ids, "doc_id", "left_semi"), docs)
+    """The texts that a search reads."""
+    query = regexp_query(pattern, ignore_case)
+    chosen = choose(_postings(spark, d), query, lambda: _indexed(spark, d), _lookup(spark, d), _n_indexed(spark, d), "doc_id")
+    rows = chosen.of(_texts(spark, d), "doc_id")
+    return grep.name_filter(rows, name) if name else rows
 
 
 # SQL that the queries share
@@ -118,17 +141,16 @@ def trigram_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 def trigram_counts(spark: SparkSession, d: str) -> DataFrame:
-    return index.gram_counts(_postings(spark, d))
+    return _counts(spark, d)
 
 
 def trigram_top(spark: SparkSession, d: str) -> DataFrame:
     """The hundred trigrams held by most files: a report, hence the limit."""
-    return index.gram_counts(_postings(spark, d)).orderBy(F.desc("n_files"), "trigram").limit(100)
+    return _counts(spark, d).orderBy(F.desc("n_files"), "trigram").limit(100)
 
 
 def posting_lists(spark: SparkSession, d: str) -> DataFrame:
-    rows = index.posting_lists(_postings(spark, d), "doc_id")
-    return rows.select("trigram", F.col("block").cast("long").alias("block"), "cnt", F.element_at("ids", 1).alias("first_id"), F.element_at("ids", -1).alias("last_id"))
+    return index.posting_blocks(_postings(spark, d))
 
 
 def skip_reasons(spark: SparkSession, d: str) -> DataFrame:
@@ -162,19 +184,19 @@ def index_problems(spark: SparkSession, d: str) -> DataFrame:
 
 def _cand(pattern: str, ignore_case: bool = False) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return candidates(_postings(spark, d), regexp_query(pattern, ignore_case), _indexed(spark, d), _counts(spark, d), "doc_id")
+        return candidates(_postings(spark, d), regexp_query(pattern, ignore_case), _indexed(spark, d), _lookup(spark, d), "doc_id")
 
     return run
 
 
 def posting_intersect(spark: SparkSession, d: str) -> DataFrame:
-    p = _postings(spark, d)
+    p = index.posting_rows(_postings(spark, d), "doc_id")
     pick = lambda t: p.filter(F.col("trigram") == int.from_bytes(t, "big")).select("doc_id")
     return pick(b"buc").intersect(pick(b"eng"))
 
 
 def posting_union(spark: SparkSession, d: str) -> DataFrame:
-    p = _postings(spark, d)
+    p = index.posting_rows(_postings(spark, d), "doc_id")
     pick = lambda t: p.filter(F.col("trigram") == int.from_bytes(t, "big")).select("doc_id")
     return pick(b"0x7").union(pick(b"@ge")).distinct()
 
@@ -195,8 +217,7 @@ def search_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def search_brute(spark: SparkSession, d: str) -> DataFrame:
-    rows = _docs(spark, d).join(_indexed(spark, d), "doc_id", "left_semi")
-    return grep.match_counts(rows, "(reader|writer)[A-Z]", "doc_id", "text")
+    return grep.match_counts(_texts(spark, d), "(reader|writer)[A-Z]", "doc_id", "text")
 
 
 def search_ordered(spark: SparkSession, d: str) -> DataFrame:
@@ -222,8 +243,8 @@ def search_index_counts(spark: SparkSession, d: str) -> DataFrame:
 
 def explain_search(spark: SparkSession, d: str) -> DataFrame:
     query = regexp_query("Copyright")
-    found = candidates(_postings(spark, d), query, _indexed(spark, d), _counts(spark, d), "doc_id")
-    return found.agg(F.count(F.lit(1)).alias("candidates")).select(F.lit(str(query)).alias("query"), "candidates", F.lit(_indexed(spark, d).count()).alias("files"))
+    found = candidates(_postings(spark, d), query, _indexed(spark, d), _lookup(spark, d), "doc_id")
+    return found.agg(F.count(F.lit(1)).alias("candidates")).select(F.lit(str(query)).alias("query"), "candidates", F.lit(_n_indexed(spark, d)).alias("files"))
 
 
 PATTERNS = ["return", "TODO|FIXME", "foo.*bar", "hello", "[Bb]ucket.*[Ee]ngine", "^import ", "fn [a-z_]+\\(", "[0-9]{4}-[0-9]{2}-[0-9]{2}", "unsafe impl Send", "(?i)license", "(?i)deprecated"]
@@ -231,7 +252,7 @@ PATTERNS = ["return", "TODO|FIXME", "foo.*bar", "hello", "[Bb]ucket.*[Ee]ngine",
 
 def superset_check(spark: SparkSession, d: str) -> DataFrame:
     """(pattern, doc_id): files that match but are no candidates. There must be none."""
-    rows = _docs(spark, d).join(_indexed(spark, d), "doc_id", "left_semi")
+    rows = _texts(spark, d)
     out = None
     for p in PATTERNS:
         hit = grep.matching_files(rows, p, "doc_id", "text")

@@ -3,6 +3,7 @@
 import json
 import os
 import random
+import re
 import shutil
 
 import numpy as np
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tessera import search_queries
 from tessera.functions import trigrams
+from tessera.plans.analyze import regexp_query
+from tessera.plans.candidates import GramCounts, choose, ranges_of
 from tessera.runtime import SharedFolder, shared_dir
 from tessera.sources import index
 from tessera.sources.listing import Root, snapshot
@@ -161,8 +164,9 @@ def test_damage_is_named(spark, tmp_path):
         record.write_text(json.dumps(meta))
 
     p = ix.table("postings")
-    swapped("postings", p.withColumn("file_id", F.col("file_id") + 99))
+    swapped("postings", p.withColumn("ids", F.transform("ids", lambda x: x + 99)).withColumn("first", F.col("first") + 99))
     swapped("postings", p.unionByName(p.limit(1)))
+    swapped("postings", p.withColumn("n", F.col("n") + 1))
     swapped("postings", p.limit(3))
     swapped("postings", p.withColumn("trigram", F.lit(1 << 25)))
     swapped("gram_counts", ix.table("gram_counts").withColumn("n_files", F.lit(7).cast("long")))
@@ -180,9 +184,37 @@ def test_empty_corpus(spark, tmp_path):
 
 
 def test_posting_lists_are_cut(spark):
-    p = spark.createDataFrame([(1, 5), (1, 2), (1, 12), (2, 5)], "trigram int, file_id long")
-    got = sorted((r.trigram, r.block, r.cnt, r.ids) for r in index.posting_lists(p, block=10).collect())
-    assert got == [(1, 0, 2, [2, 5]), (1, 1, 1, [12]), (2, 0, 1, [5])]
+    grams = spark.createDataFrame([(5, [1, 2]), (2, [1]), (12, [1]), (None, [3]), (7, []), (8, None)], "file_id long, grams array<int>").coalesce(1)
+    rows = lambda **k: sorted((r.trigram, r.first, r.n, r.ids) for r in trigrams.posting_lists(grams, "file_id", **k).collect())
+    assert rows() == [(1, 2, 3, [2, 5, 12]), (2, 5, 1, [5])]
+    assert rows(listed=2) == [(1, 2, 2, [2, 5]), (1, 12, 1, [12]), (2, 5, 1, [5])]
+    got = sorted((r.trigram, r.block, r.cnt, r.first_id, r.last_id) for r in index.posting_blocks(trigrams.posting_lists(grams, "file_id"), block=10).collect())
+    assert got == [(1, 0, 2, 2, 5), (1, 1, 1, 12, 12), (2, 0, 1, 5, 5)]
+
+
+def test_ways_of_reading_agree(spark):
+    words = ["alpha", "beta", "gamma", "delta", "omega"]
+    texts = {i: " ".join(words[k] for k in range(5) if i >> k & 1) for i in range(1, 400)}
+    files = spark.createDataFrame(list(texts.items()), "file_id long, text string").cache()
+    grams = trigrams.analyzed(files, "file_id", "text")
+    lists = trigrams.posting_lists(grams, "file_id")
+    counts = GramCounts(index.gram_counts(lists))
+    for pattern in ("alpha.*omega", "(alpha|gamma) delta", "beta", "zeta", "x|y", "omega (beta|delta)|gam"):
+        q = regexp_query(pattern)
+        want = {i for i, t in texts.items() if re.search(pattern, t)}
+        for few, exact in ((4096, True), (4096, False), (3, True), (3, False)):
+            chosen = choose(lists, q, lambda: files, counts, len(texts), few=few, exact=exact)
+            got = {r.file_id for r in chosen.of(files, "file_id").collect()}
+            assert got >= want and (not exact or got == {i for i, t in texts.items() if q.holds(set(trigrams.distinct_trigrams(t.encode()).tolist()))}), (pattern, few, exact)
+    assert ranges_of(np.array([1, 2, 9, 10, 50]), 2) == [(1, 10), (50, 50)] and ranges_of(np.array([4]), 9) == [(4, 4)] and ranges_of(np.array([])) == []
+
+
+def test_contents_are_handed_on_by_bytes(spark, tmp_path):
+    root = write(tmp_path / "r", {f"f{i}": bytes([65 + i]) * 100 for i in range(9)})
+    rows = spark.createDataFrame([(i, f"{root}/f{i}" if i < 9 else "file://" + f"{root}/f{i - 9}" if i < 12 else f"{root}/none") for i in range(13)], "id int, path string").coalesce(1)
+    for size in (1, 250, 1 << 20):
+        got = {r.id: (r.content, r.lost) for r in index.read_contents(rows, size).collect()}
+        assert [len(got[i][0]) for i in range(12)] == [100] * 12 and got[12] == (None, "missing") and got[9] == got[0]
 
 
 def test_shared_folder(spark):

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,18 +31,27 @@ def hits(pattern: re.Pattern, text: str) -> Iterator[tuple[int, int, int]]:
         at = end + 1
 
 
-def _lines_of(content: Column) -> Column:
+def literal(text: str) -> str:
+    """``text`` as an SQL string."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+# Plans are written as SQL text: a search of few files is over sooner than a plan is put
+# together column by column.
+
+
+def _lines_of(content: str) -> str:
     """The lines, each as it stands; none for an empty text."""
-    body = F.when(F.endswith(content, F.lit("\n")), F.expr("substring(_text, 1, length(_text) - 1)")).otherwise(content)
-    return F.when(F.length(content) > 0, F.split(body, "\n", -1)).otherwise(F.array().cast("array<string>"))
+    body = f"IF(endswith({content}, '\\n'), substring({content}, 1, length({content}) - 1), {content})"
+    return f"IF(length({content}) > 0, split({body}, '\\n', -1), CAST(array() AS array<string>))"
 
 
-def _line_test(java: str) -> Callable[[Column], Column]:
-    return lambda line: F.regexp_replace(line, r"\r\z", "").rlike(java)
+def _line_test(java: str) -> str:
+    return f"regexp_replace(l, {literal(chr(92) + 'r' + chr(92) + 'z')}, '') RLIKE {literal(java)}"
 
 
-def _with_text(texts: DataFrame, content: str) -> DataFrame:
-    return texts.withColumnRenamed(content, "_text").filter(F.col("_text").isNotNull())
+def _with_text(texts: DataFrame, key: str, content: str, test: str = "true") -> DataFrame:
+    return texts.selectExpr(f"`{key}` AS _key", f"`{content}` AS _text").filter(f"_text IS NOT NULL AND {test}")
 
 
 def _looped(node: hir.Node, lines: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -71,26 +80,24 @@ def matching_lines(texts: DataFrame, pattern: str, key: str, content: str, ignor
     """
     node = hir.parse(pattern, ignore_case)
     java = to_java(node)
-    rows = _with_text(texts, content).select(F.col(key).alias("_key"), "_text")
     if line_local(node):
-        test = _line_test(java)
-        each = rows.select("_key", F.posexplode(_lines_of(F.col("_text"))).alias("at", "line"))
-        return each.filter(test(F.col("line"))).select(F.col("_key").alias(key), (F.col("at") + 1).cast("long").alias("line_no"), "line")
+        each = _with_text(texts, key, content).selectExpr("_key", f"posexplode({_lines_of('_text')}) AS (at, l)")
+        return each.filter(_line_test(java)).selectExpr(f"_key AS `{key}`", "CAST(at + 1 AS BIGINT) AS line_no", "l AS line")
     schema = T.StructType([T.StructField("_key", texts.schema[key].dataType), T.StructField("line_no", T.LongType()), T.StructField("line", T.StringType())])
-    return rows.filter(F.col("_text").rlike(java)).mapInArrow(_looped(node, True), schema).withColumnRenamed("_key", key)
+    rows = _with_text(texts, key, content, f"_text RLIKE {literal(java)}")
+    return rows.mapInArrow(_looped(node, True), schema).withColumnRenamed("_key", key)
 
 
 def match_counts(texts: DataFrame, pattern: str, key: str, content: str, ignore_case: bool = False) -> DataFrame:
     """(key, n): the number of hits of each text that has any; no shuffle."""
     node = hir.parse(pattern, ignore_case)
     java = to_java(node)
-    rows = _with_text(texts, content).select(F.col(key).alias("_key"), "_text")
     if line_local(node):
-        counted = rows.select(F.col("_key"), F.size(F.filter(_lines_of(F.col("_text")), _line_test(java))).cast("long").alias("n"))
-    else:
-        schema = T.StructType([T.StructField("_key", texts.schema[key].dataType), T.StructField("n", T.LongType())])
-        counted = rows.filter(F.col("_text").rlike(java)).mapInArrow(_looped(node, False), schema)
-    return counted.filter("n > 0").withColumnRenamed("_key", key)
+        n = f"CAST(size(filter({_lines_of('_text')}, l -> {_line_test(java)})) AS BIGINT) AS n"
+        return _with_text(texts, key, content).selectExpr(f"_key AS `{key}`", n).filter("n > 0")
+    schema = T.StructType([T.StructField("_key", texts.schema[key].dataType), T.StructField("n", T.LongType())])
+    rows = _with_text(texts, key, content, f"_text RLIKE {literal(java)}")
+    return rows.mapInArrow(_looped(node, False), schema).filter("n > 0").withColumnRenamed("_key", key)
 
 
 def matching_files(texts: DataFrame, pattern: str, key: str, content: str, ignore_case: bool = False) -> DataFrame:
@@ -98,8 +105,7 @@ def matching_files(texts: DataFrame, pattern: str, key: str, content: str, ignor
     node = hir.parse(pattern, ignore_case)
     if not line_local(node):
         return match_counts(texts, pattern, key, content, ignore_case).select(key)
-    rows = _with_text(texts, content).select(F.col(key).alias("_key"), "_text")
-    return rows.filter(F.exists(_lines_of(F.col("_text")), _line_test(to_java(node)))).select(F.col("_key").alias(key))
+    return _with_text(texts, key, content, f"exists({_lines_of('_text')}, l -> {_line_test(to_java(node))})").selectExpr(f"_key AS `{key}`")
 
 
 def name_filter(names: DataFrame, pattern: str, column: str = "path") -> DataFrame:

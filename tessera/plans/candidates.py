@@ -80,9 +80,13 @@ def _test(q: Query, place: dict[int, int]) -> Column:
     return reduce(lambda a, b: a & b if q.kind == AND else a | b, parts)
 
 
+def _one_of(column: str, values: Iterable[int]) -> str:
+    return f"`{column}` IN ({', '.join(map(str, sorted(values)))})"
+
+
 def _rows(postings: DataFrame, grams: Iterable[int], key: str) -> DataFrame:
     """(trigram, key) of the given trigrams, by a filter that reaches the scan."""
-    kept = postings.filter(F.col("trigram").isin(sorted(grams)))
+    kept = postings.filter(_one_of("trigram", grams))
     return kept.select("trigram", F.explode("ids").alias(key)) if "ids" in postings.columns else kept.select("trigram", key)
 
 
@@ -159,11 +163,11 @@ def ranges_of(ids: np.ndarray, most: int = RANGES) -> list[tuple[int, int]]:
     return [(int(part[0]), int(part[-1])) for part in np.split(ids, cuts)]
 
 
-def among(key: str, ids: np.ndarray) -> Column:
+def among(key: str, ids: np.ndarray) -> str:
     if not len(ids):
-        return F.lit(False)
+        return "false"
     spans = " OR ".join(f"`{key}` BETWEEN {lo} AND {hi}" for lo, hi in ranges_of(ids))
-    return F.expr(f"({spans}) AND `{key}` IN ({', '.join(map(str, ids.tolist()))})")
+    return f"({spans}) AND {_one_of(key, ids.tolist())}"
 
 
 def choose(postings: DataFrame, q: Query, files: Callable[[], DataFrame], counts: GramCounts, total: int, key: str = "file_id", few: int = FEW_FILES, exact: bool = False) -> Chosen:
@@ -185,7 +189,7 @@ def choose(postings: DataFrame, q: Query, files: Callable[[], DataFrame], counts
         return Chosen(table=materialize(candidates(postings, slim, files(), counts, key), "candidates"), small=ceiling <= RARE_FILES)
     leaves = set(slim.leaves())
     if "ids" in postings.columns and sum(map(counts.of, leaves)) <= FEW_POSTINGS:
-        got = postings.filter(F.col("trigram").isin(sorted(leaves))).select("trigram", "ids").toArrow()
+        got = postings.filter(_one_of("trigram", leaves)).select("trigram", "ids").toArrow()
         held: dict[int, list[np.ndarray]] = {}
         for gram, ids in zip(got.column(0).to_pylist(), got.column(1)):
             held.setdefault(gram, []).append(ids.values.to_numpy())

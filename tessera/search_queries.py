@@ -247,6 +247,13 @@ def explain_search(spark: SparkSession, d: str) -> DataFrame:
     return found.agg(F.count(F.lit(1)).alias("candidates")).select(F.lit(str(query)).alias("query"), "candidates", F.lit(_n_indexed(spark, d)).alias("files"))
 
 
+def search_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What a search over everything reads: (doc_id, n_bytes) of the stored texts."""
+    return _texts(spark, d).select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
+
+
+#: Words that few texts hold.
+RARE_PATTERNS = ["evict_packet", "write_vertex\\b", "dense_(budget|option)", "hopper(Unit|Orchard)", "node_schema|nodeWriter"]
 PATTERNS = ["return", "TODO|FIXME", "foo.*bar", "hello", "[Bb]ucket.*[Ee]ngine", "^import ", "fn [a-z_]+\\(", "[0-9]{4}-[0-9]{2}-[0-9]{2}", "unsafe impl Send", "(?i)license", "(?i)deprecated"]
 
 
@@ -341,6 +348,7 @@ SEARCH_QUERIES: dict[str, tuple[Query, str | None]] = {
     "posting_union": (posting_union, f"WITH {_OK} SELECT doc_id FROM ok WHERE contains(text, '0x7') UNION SELECT doc_id FROM ok WHERE contains(text, '@ge')"),
     "search_lines": (_lines("return [a-z]+\\("), _lines_sql("return [a-z]+\\(")),
     "search_counts": (_counted("(reader|writer)[A-Z]"), _lines_sql("(reader|writer)[A-Z]", "counts")),
+    "search_texts": (search_texts, f"WITH {_OK} SELECT doc_id, strlen(text) AS n_bytes FROM ok"),
     "search_files": (search_files, _lines_sql("generated by [a-z]+", "files")),
     "search_icase": (_lines("copyright \\(c\\)", True), _lines_sql("copyright \\(c\\)", prefix="(?i)")),
     "search_name_filter": (_lines("import", name="\\.(rs|go)$"), _lines_sql("import", where="regexp_matches(path, '\\.(rs|go)$')")),

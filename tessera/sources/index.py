@@ -23,8 +23,7 @@ from pyspark.sql import types as T
 from tessera.functions import trigrams
 from tessera.functions.trigrams import UNREADABLE, analyzed
 from tessera.operators import grep
-from tessera.plans import hir
-from tessera.plans.analyze import query_for
+from tessera.plans.analyze import regexp_query
 from tessera.plans.boolquery import EVERYTHING, Query
 from tessera.plans.candidates import Chosen, GramCounts, candidates, choose
 from tessera.runtime import SharedFolder, materialize
@@ -200,7 +199,7 @@ class Index:
     def candidate_files(self, pattern: str, ignore_case: bool = False, brute: bool = False, name: str | None = None) -> DataFrame:
         """(file_id, root_ord, path): the files that the index leaves. ``name`` filters
         paths before any content is read."""
-        query = EVERYTHING if brute else query_for(hir.parse(pattern, ignore_case))
+        query = EVERYTHING if brute else regexp_query(pattern, ignore_case)
         files = self.table("files").select("file_id", "root_ord", "path")
         if name is not None:
             files = grep.name_filter(files, name)
@@ -213,7 +212,7 @@ class Index:
         only candidates are read, whatever their share."""
         asked = pattern, ignore_case, brute, table
         if asked not in self._chosen:
-            query = EVERYTHING if brute else query_for(hir.parse(pattern, ignore_case))
+            query = EVERYTHING if brute else regexp_query(pattern, ignore_case)
             self._chosen[asked] = choose(self.table("postings"), query, lambda: self.table("files"), self.counts, self.num_files, exact=not table)
         return self._chosen[asked]
 
@@ -260,7 +259,7 @@ class Index:
 
     def explain_search(self, pattern: str, ignore_case: bool = False, name: str | None = None) -> DataFrame:
         """(query, candidates, files): one row on how a search is planned."""
-        shown = str(query_for(hir.parse(pattern, ignore_case)))
+        shown = str(regexp_query(pattern, ignore_case))
         found = self.candidate_files(pattern, ignore_case, name=name)
         return found.agg(F.count(F.lit(1)).alias("candidates")).select(F.lit(shown).alias("query"), "candidates", F.lit(self.num_files).cast("long").alias("files"))
 

@@ -3,8 +3,9 @@
 A ledger holds the sequence numbers whose output is committed, as disjoint, merged
 intervals. A run subtracts them from the numbers available, processes the gaps (a late
 commit is just another gap), writes its output under a new folder, and then creates the
-next commit record, which names both the merged intervals and every output folder that
-counts. A run that dies before its record leaves a folder nobody reads; a run that is
+next commit record, which names the merged intervals and the output folder. Only numbers
+outside the intervals done are looked at: what is done is passed over by the scan, by the
+ranges of its files and row groups, and is neither sorted nor moved. A run that dies before its record leaves a folder nobody reads; a run that is
 repeated finds nothing left. Two runs at once: the record is created only if absent, so
 one of them wins and the other reports a conflict.
 """
@@ -17,8 +18,9 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,18 +41,23 @@ def merged(parts: Iterable[Interval]) -> list[Interval]:
 
 
 def gaps(available: Iterable[Interval], done: Iterable[Interval]) -> list[Interval]:
-    """What ``available`` holds and ``done`` does not."""
+    """What ``available`` holds and ``done`` does not: one pass over both."""
     left: list[Interval] = []
     finished = merged(done)
+    at = 0
     for lo, hi in merged(available):
-        for a, b in finished:
-            if b < lo or a > hi:
-                continue
+        while at < len(finished) and finished[at][1] < lo:
+            at += 1
+        k = at
+        while lo <= hi and k < len(finished) and finished[k][0] <= hi:
+            a, b = finished[k]
             if a > lo:
                 left.append((lo, a - 1))
             lo = b + 1
+            k += 1
         if lo <= hi:
             left.append((lo, hi))
+        at = max(at, k - 1)
     return left
 
 
@@ -80,20 +87,47 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([low], pa.int64()), pa.array([last], pa.int64())], names=["lo", "hi"])
 
 
-def available(rows: DataFrame, seq: str) -> list[Interval]:
-    """The numbers present, as intervals. Numbers are sorted in ranges, each range is read
-    once, and only the ends of its runs come to the driver, which joins those that touch."""
+def available(rows: DataFrame, seq: str, most: int | None = None) -> list[Interval]:
+    """The numbers present, as intervals; the lowest ``most`` of them if there are more.
+    Numbers are sorted in ranges, each range is read once, and only the ends of its runs
+    come to the driver, which joins those that touch."""
     numbers = rows.select(F.col(seq).cast("long").alias("seq")).dropna().distinct()
     ends = numbers.repartitionByRange("seq").sortWithinPartitions("seq").mapInArrow(_runs, "lo long, hi long")
-    return merged((r.lo, r.hi) for r in ends.collect())
-
-
-def within(seq: Column, parts: list[Interval]) -> Column:
-    """A filter that reaches the scan: one range test per interval."""
-    test = F.lit(False)
-    for lo, hi in parts:
-        test = test | seq.between(lo, hi)
-    return test
+    if most is not None:
+        ends = ends.orderBy("lo").limit(most)
+    found = ends.toArrow()
+    return merged(zip(found.column(0).to_pylist(), found.column(1).to_pylist()))
+
+
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
+#: Ranges that a scan is given.
+RANGES = 32
+#: Gaps handled in one pass: what comes to the driver, and goes to each task, 16 bytes each.
+GAPS = 1 << 20
+
+
+def within(rows: DataFrame, seq: str, parts: Iterable[Interval]) -> DataFrame:
+    """The rows whose number lies in ``parts``. At most ``RANGES`` ranges, cut at the widest
+    distances, reach the scan; what else lies between is told by a binary search."""
+    parts = merged(parts)
+    if not parts:
+        return rows.filter("false")
+    lo, hi = np.array(parts, np.int64).T
+    cuts = np.sort(np.argsort(lo[1:].astype(float) - hi[:-1].astype(float), kind="stable")[::-1][: RANGES - 1]) + 1
+    wide = [(int(a[0]), int(b[-1])) for a, b in zip(np.split(lo, cuts), np.split(hi, cuts))]
+    edge = lambda a, b: " AND ".join([f"`{seq}` >= {a}L"] * (a != LOWEST) + [f"`{seq}` <= {b}L"] * (b != HIGHEST)) or "true"
+    near = rows.filter(f"`{seq}` IS NOT NULL AND ({' OR '.join(f'({edge(a, b)})' for a, b in wide)})")
+    if len(parts) <= RANGES:
+        return near
+    sent = rows.sparkSession.sparkContext.broadcast((lo, hi))
+
+    @F.pandas_udf("boolean")
+    def inside(numbers: pd.Series) -> pd.Series:
+        low, high = sent.value
+        at = np.searchsorted(low, numbers.to_numpy(), side="right") - 1
+        return pd.Series((at >= 0) & (numbers.to_numpy() <= high[np.maximum(at, 0)]))
+
+    return near.filter(inside(F.col(seq).cast("long")))
 
 
 class LedgerConflict(RuntimeError):
@@ -108,22 +142,34 @@ class Commit:
 
 
 class Ledger:
-    """Commit records ``commit-N.json`` in a shared folder."""
+    """Commit records ``commit-N.json`` in a shared folder. Each names the intervals done and
+    its own output; one in ``WHOLE`` names all outputs, so that few records are read."""
+
+    WHOLE = 64
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
         self._folder = SharedFolder(spark, path)
 
     def read(self) -> Commit:
-        names = [n for n in self._folder.names() if n.startswith("commit-")]
+        names = sorted(n for n in self._folder.names() if n.startswith("commit-"))
         if not names:
             return Commit(0, (), ())
-        body = json.loads(self._folder.read(max(names)))
-        return Commit(int(max(names)[7:-5]), tuple((lo, hi) for lo, hi in body["done"]), tuple(body["outputs"]))
+        last = body = json.loads(self._folder.read(names[-1]))
+        outputs: list[str] = []
+        for name in reversed(names[:-1]):
+            if "before" in body:
+                break
+            outputs[:0] = body["outputs"]
+            body = json.loads(self._folder.read(name))
+        outputs[:0] = [*body.get("before", []), *body["outputs"]]
+        return Commit(int(names[-1][7:-5]), tuple((lo, hi) for lo, hi in last["done"]), tuple(outputs))
 
     def commit(self, base: Commit, processed: list[Interval], output: str | None) -> Commit:
-        after = Commit(base.version + 1, tuple(merged([*base.done, *processed])), (*base.outputs, *([output] if output else [])))
-        if not self._folder.create(f"commit-{after.version:08d}.json", json.dumps({"done": after.done, "outputs": after.outputs})):
+        own = (output,) if output else ()
+        after = Commit(base.version + 1, tuple(merged([*base.done, *processed])), base.outputs + own)
+        body = {"done": after.done, "outputs": own} | ({"before": base.outputs} if after.version % self.WHOLE == 0 else {})
+        if not self._folder.create(f"commit-{after.version:08d}.json", json.dumps(body)):
             raise LedgerConflict(f"{self.path}: commit {after.version} exists")
         return after
 
@@ -133,21 +179,26 @@ class Ledger:
         return self.spark.read.parquet(*at) if at else None
 
 
-def process_new(ledger: Ledger, source: DataFrame, seq: str, work: Callable[[DataFrame], DataFrame]) -> list[Interval]:
+def process_new(ledger: Ledger, source: DataFrame, seq: str, work: Callable[[DataFrame], DataFrame], most: int = GAPS) -> list[Interval]:
     """Run ``work`` over the rows of ``source`` whose sequence number isn't done, and
     commit its output with their intervals. Returns what was processed.
 
-    Only the ends of runs of numbers come to the driver: as many as there are holes in the
-    sequence, not as there are rows. Rows without a sequence number are never available.
+    The ranges open are all numbers less those done; the numbers available there, less
+    those done, are the gaps. Only the ends of runs of new numbers come to the driver, at
+    most ``most`` at a time: if there are more, they are handled in as many passes, each
+    with its own commit. Rows without a sequence number are never available.
     """
-    base = ledger.read()
-    todo = gaps(available(source, seq), base.done)
-    if not todo:
-        return []
-    out = f"{ledger.path}/out-{uuid.uuid4().hex}"
-    work(source.filter(within(F.col(seq), todo))).write.parquet(out)
-    ledger.commit(base, todo, out)
-    return todo
+    handled: list[Interval] = []
+    while True:
+        base = ledger.read()
+        fresh = within(source, seq, gaps([(LOWEST, HIGHEST)], base.done))
+        todo = gaps(available(fresh, seq, most), base.done)
+        if not todo:
+            return merged(handled)
+        out = f"{ledger.path}/out-{uuid.uuid4().hex}"
+        work(within(source, seq, todo)).write.parquet(out)
+        ledger.commit(base, todo, out)
+        handled += todo
 
 
 def indexed_snapshots(snapshots: DataFrame, stamps: DataFrame) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.operators import intervals, radix, skew, snapdiff
-from tessera.runtime import table
+from tessera.runtime import fresh_path, table
 from tessera.search_queries import SEARCH_QUERIES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +57,26 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return snapdiff.refresh_rows(table(spark, d, "file_entries"), table(spark, d, "snapshots"), table(spark, d, "stamps"))
 
 
+def p2_after_failure(spark: SparkSession, d: str) -> DataFrame:
+    """``p2_found`` in three runs over one ledger: the stamps of the first half of the time;
+    all stamps, but the run dies before it commits; all stamps again."""
+    entries, snapshots, stamps = (table(spark, d, t) for t in ("file_entries", "snapshots", "stamps"))
+    ledger = intervals.Ledger(spark, fresh_path(spark, "refresh"))
+    half = stamps.agg(((F.min("written_at").cast("timestamp").cast("double") + F.max("written_at").cast("timestamp").cast("double")) / 2).alias("t")).first().t
+    snapdiff.refresh_new(ledger, entries, snapshots, stamps.filter(F.col("written_at").cast("timestamp").cast("double") <= F.lit(half)))
+
+    class Dies(intervals.Ledger):
+        def commit(self, *_: object) -> intervals.Commit:
+            raise InterruptedError
+
+    try:
+        snapdiff.refresh_new(Dies(spark, ledger.path), entries, snapshots, stamps)
+    except InterruptedError:
+        pass
+    snapdiff.refresh_new(ledger, entries, snapshots, stamps)
+    return snapdiff.refreshed(ledger, entries)
+
+
 def p2_processed(spark: SparkSession, d: str) -> DataFrame:
     snapshots, stamps = table(spark, d, "snapshots"), table(spark, d, "stamps")
     done = intervals.in_sequence(snapshots).join(intervals.indexed_snapshots(snapshots, stamps).select("snap_id"), "snap_id", "left_semi")
@@ -82,12 +103,15 @@ def p5_build_claims(spark: SparkSession, d: str) -> DataFrame:
 _MARKED = f"""WITH {_POSTINGS}, marked AS (SELECT *, CASE WHEN n_files <= 2 THEN 'rare'
   WHEN n_files * 5 > (SELECT count(DISTINCT file_id) FROM valid) THEN 'common' END AS mark FROM stats)"""
 
+_P2 = f"""WITH {_listing(_INDEXED)}
+SELECT p.snap_id, b.path FROM pairs p JOIN cur b ON b.snap_id = p.snap_id
+LEFT JOIN cur a ON a.snap_id = p.base AND a.path = b.path WHERE a.snap_id IS NULL OR {_DIFFERS}"""
+
 DATA_QUERIES: dict[str, tuple[Query, str | None]] = {
     "p1_found": (p1_found, f"WITH {_POSTINGS} SELECT trigram FROM stats WHERE n_rows * 100 > 2 * (SELECT count(*) FROM valid)"),
     "p1_trigram_stats": (p1_trigram_stats, f"WITH {_POSTINGS} SELECT * FROM stats"),
-    "p2_found": (p2_found, f"""WITH {_listing(_INDEXED)}
-SELECT p.snap_id, b.path FROM pairs p JOIN cur b ON b.snap_id = p.snap_id
-LEFT JOIN cur a ON a.snap_id = p.base AND a.path = b.path WHERE a.snap_id IS NULL OR {_DIFFERS}"""),
+    "p2_found": (p2_found, _P2),
+    "p2_after_failure": (p2_after_failure, _P2),
     "p2_processed": (p2_processed, """WITH every AS (SELECT snap_id, root_ord, fingerprint,
   row_number() OVER (PARTITION BY root_ord ORDER BY taken_at NULLS FIRST, snap_id) AS seq FROM snapshots), done AS (
   SELECT root_ord, seq FROM every n WHERE EXISTS (SELECT 1 FROM stamps s WHERE s.snap_id = n.snap_id AND lower(s.fingerprint) = lower(n.fingerprint))),

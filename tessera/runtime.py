@@ -45,6 +45,15 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def whole_files(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark``, whose scans give each file to one task, whole. What it
+    reads takes part in plans of ``spark`` as the right side of a join."""
+    beside = spark.newSession()
+    for setting in ("maxPartitionBytes", "openCostInBytes"):
+        beside.conf.set(f"spark.sql.files.{setting}", 1 << 50)
+    return beside
+
+
 #: Inputs with less than this for each core are spread before heavy work on their rows.
 SPREAD_BYTES = 2 << 20
 

@@ -309,7 +309,7 @@ def listing_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprints of the listings, put against those the snapshots carry: of one root's
     listings those must be equal where these are."""
     sequence = intervals.in_sequence(table(spark, d, "snapshots"))
-    rows = snapdiff.listings(table(spark, d, "file_entries"), sequence).select("snap_id", "path", "len", F.col("mtime.mtime_s").alias("mtime_s"), F.col("mtime.mtime_ns").alias("mtime_ns"))
+    rows = snapdiff.latest_listings(snapdiff.readings(table(spark, d, "file_entries"), sequence)).select("snap_id", "path", "len", F.col("mtime.mtime_s").alias("mtime_s"), F.col("mtime.mtime_ns").alias("mtime_ns"))
     return listing.listing_fingerprints(rows, "snap_id")
 
 

@@ -128,6 +128,28 @@ def test_only_new_records_are_processed(spark):
     assert sorted(r.seq for r in ledger.output().collect()) == [1, 2, 3, 4, 5, 7, 9]
 
 
+def test_many_holes(spark):
+    ledger = intervals.Ledger(spark, fresh_path(spark, "ledger"))
+    keep = lambda df: df.select("id")
+    odd = spark.range(1, 200_001, 2)
+    done = intervals.process_new(ledger, odd, "id", keep)
+    assert len(done) == 100_000 and ledger.output().count() == 100_000
+    assert intervals.process_new(ledger, spark.range(1, 200_011), "id", keep) == [(i, i) for i in range(2, 200_001, 2)][:-1] + [(200_000, 200_010)]
+    assert ledger.read().done == ((1, 200_010),) and ledger.output().count() == 200_010 == ledger.output().distinct().count()
+    assert intervals.process_new(ledger, odd, "id", keep) == []
+
+
+def test_gaps_in_passes(spark):
+    ledger = intervals.Ledger(spark, fresh_path(spark, "ledger"))
+    ledger.WHOLE = 3
+    numbers = [n for n in range(60) if n % 3] + [100, 101, 102]
+    rows = spark.createDataFrame([(n,) for n in numbers], "n long")
+    intervals.process_new(ledger, rows, "n", lambda df: df, most=4)
+    got = ledger.read()
+    assert sorted(r.n for r in ledger.output().collect()) == numbers and got.version > 3 and len(got.outputs) == got.version
+    assert got.done == tuple(intervals.merged((n, n) for n in numbers))
+
+
 def test_of_two_runs_one_commits(spark):
     ledger = intervals.Ledger(spark, fresh_path(spark, "ledger"))
     base = ledger.read()
@@ -175,6 +197,25 @@ def test_snapshot_changes(spark):
     assert got == want
     assert snapdiff.snapshot_changes(entries(spark, rows).filter("false"), s).count() == 0
     assert snapdiff.snapshot_changes(entries(spark, rows), s.filter("false")).count() == 0
+    sequence = spark.createDataFrame(intervals.in_sequence(s).collect(), "snap_id long, root_ord int, seq int")
+    at = fresh_path(spark, "listings")
+    snapdiff.keep_listings(entries(spark, rows), sequence, at)
+    for only in (sequence, sequence.filter("seq IN (1, 2)")):
+        kept = snapdiff.open_listings(spark, at)
+        merged = snapdiff.consecutive_changes(kept.join(F.broadcast(only.select("snap_id")), "snap_id", "left_semi") if only is not sequence else kept, only)
+        assert {tuple(r) for r in merged.collect()} == {w for w in want if w[0] in {r.snap_id for r in only.collect()}}
+    plan = snapdiff.consecutive_changes(snapdiff.open_listings(spark, at), sequence)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.index("MapInArrow"):]
+    assert "Exchange" not in below and "Sort" not in below  # the store is streamed where it lies
+
+
+def test_long_ranges_are_streamed_whole(spark):
+    s = snaps(spark, [(1, 0, T0.format(1), "a"), (2, 0, T0.format(2), "b"), (3, 0, T0.format(3), "c")])
+    base = spark.range(30_000).select(F.format_string("/d%03d/f%d", F.col("id") % 997, "id").alias("path"), "id")
+    every = base.crossJoin(spark.range(1, 4).toDF("snap_id")).filter("NOT (id % 100 = 0 AND snap_id = 2)")
+    rows = every.select("snap_id", "path", F.when((F.col("id") % 50 == 7) & (F.col("snap_id") == 3), 2).otherwise(1).cast("long").alias("len"), F.lit(None).cast("long").alias("mtime_s"), F.lit(None).cast("int").alias("mtime_ns"), F.lit(None).cast("timestamp").alias("seen_at"))
+    got = {(r.snap_id, r.change): r["count"] for r in snapdiff.snapshot_changes(rows, s).groupBy("snap_id", "change").count().collect()}
+    assert got == {(2, "removed"): 300, (3, "added"): 300, (3, "changed"): 600}
 
 
 def test_refresh_rows(spark):

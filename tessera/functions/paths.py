@@ -4,16 +4,13 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-#: What a path must contain to need any work at all.
-_NEEDS_WORK = r"//|(^|/)\.\.?(/|$)|.+/$|[^\x00-\x7f]"
-
-
 def resolve(path: str) -> str:
     """Resolve ``.``, ``..``, repeated and trailing ``/``; compose to NFC.
 
@@ -44,8 +41,15 @@ def _resolve_udf(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield paths.map(resolve, na_action="ignore")
 
 
+def _needs_work(path: Column) -> Column:
+    """Plain searches of bytes, which cost far less than an expression would."""
+    inner = [F.contains(path, F.lit(x)) for x in ("//", "/./", "/../")]
+    ends = [F.endswith(path, F.lit(x)) for x in ("/.", "/..")] + [F.startswith(path, F.lit(x)) for x in ("./", "../")]
+    bare = [path.isin(".", ".."), F.endswith(path, F.lit("/")) & (path != "/"), F.octet_length(path) != F.length(path)]
+    return reduce(lambda a, b: a | b, [*inner, *ends, *bare])
+
+
 def resolved(path: Column) -> Column:
     """``resolve`` as a column. Clean ASCII paths never leave the JVM with their
     text: the Arrow function gets null for them."""
-    dirty = path.rlike(_NEEDS_WORK)
-    return F.coalesce(_resolve_udf(F.when(dirty, path)), path)
+    return F.coalesce(_resolve_udf(F.when(_needs_work(path), path)), path)

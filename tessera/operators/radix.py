@@ -1,4 +1,10 @@
-"""Frequency of every term by recursive radix partitioning, aggregated by DuckDB."""
+"""Frequency of every term by recursive radix partitioning, aggregated by DuckDB.
+
+The rows are written once. Level by level their buckets by hash bits are counted, and those
+with more rows than a leaf may have are split by the next bits. Then each row moves once, to
+its leaf: the engine's shuffle files are the partitions on disk, sorted by leaf, and a task
+hands DuckDB as many whole leaves at a time as together are no larger than one may be.
+"""
 
 from __future__ import annotations
 
@@ -6,16 +12,19 @@ import os
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.skew import posting_groups
-from tessera.runtime import materialize, partitions_for, shared_dir
+from tessera.runtime import discard, materialize, shared_dir
 
 #: Hash bits looked at per level, and levels at most (together all 64 bits of the hash).
 RADIX_BITS = 8
 MAX_LEVELS = 8
+#: Rows of a leaf: what DuckDB holds at a time, about 40 bytes each.
+LEAF_ROWS = 250_000
+ROW = ["term", "file_id", "block", "cnt", "build_id"]
 
 
 def _prefix(level: int) -> Column:
@@ -51,57 +60,88 @@ def radix_leaves(groups: DataFrame, term: str, record: str, leaf_rows: int) -> D
     return rows.withColumn("_leaf", F.xxhash64("_leaf", piece)).drop("_h", "_pieces", "_open")
 
 
-def _duckdb_sums(spill: str | None, memory_mb: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+_SUMS = """SELECT term, sum(n)::BIGINT AS n_rows, count(*) AS n_files, sum(c)::BIGINT AS sum_cnt FROM (
+  SELECT term, file_id, count(*) AS n, sum(coalesce(cnt, 0)) AS c FROM (SELECT DISTINCT term, file_id, block, cnt, build_id FROM leaves) GROUP BY term, file_id)
+GROUP BY term"""
+
+
+def _leaf_sums(spill: str, memory_mb: int, leaf_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Aggregates a task's rows, which come sorted by leaf, some whole leaves at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
-        first = next(batches, None)
-        if first is None:
-            return
-        con = duckdb.connect(config={"threads": 1, "memory_limit": f"{memory_mb}MB"} | ({"temp_directory": f"{spill}/{uuid.uuid4().hex}"} if spill else {}))
+        con = duckdb.connect(config={"threads": 1, "memory_limit": f"{memory_mb}MB", "temp_directory": spill and f"{spill}/{uuid.uuid4().hex}"})
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            con.register("leaves", pa.Table.from_batches(parts))
+            yield from con.sql(_SUMS).to_arrow_table().to_batches()
+            con.unregister("leaves")
+
         try:
-            con.execute("CREATE TABLE part (term BIGINT, n_rows BIGINT, sum_cnt BIGINT)")
-
-            def again() -> Iterator[pa.RecordBatch]:
-                yield first
-                yield from batches
-
-            for batch in again():
-                con.register("batch", pa.Table.from_batches([batch]))
-                con.execute("INSERT INTO part SELECT term, n_rows, sum_cnt FROM batch")
-                con.unregister("batch")
-            sums = con.sql("SELECT term, sum(n_rows)::BIGINT AS n_rows, count(*) AS n_files, sum(sum_cnt)::BIGINT AS sum_cnt FROM part GROUP BY term")
-            yield from sums.to_arrow_reader(65536)
+            for batch in batches:
+                leaf = batch.column(0).to_numpy()
+                at = 0
+                for end in [*(np.flatnonzero(np.diff(leaf)) + 1).tolist(), len(leaf)]:
+                    new = at > 0 or not held or held[-1].column(0)[-1].as_py() != leaf[0]
+                    if new and size and size + end - at > leaf_rows:
+                        yield from flush(held)
+                        held, size = [], 0
+                    if end > at:
+                        held.append(batch.slice(at, end - at))
+                    size += end - at
+                    at = end
+            if held:
+                yield from flush(held)
         finally:
             con.close()
 
     return run
 
 
-def term_frequencies(postings: DataFrame, files: DataFrame, leaf_rows: int = 2_000_000, memory_mb: int = 256) -> DataFrame:
-    """Per trigram over the valid rows: n_rows, n_files, sum_cnt.
+def valid_rows(postings: DataFrame, files: DataFrame) -> DataFrame:
+    """(term, file_id, block, cnt, build_id): rows with a trigram, of known files."""
+    known = files.select("file_id").filter(F.col("file_id").isNotNull()).distinct()
+    rows = postings.filter(F.col("trigram").isNotNull() & F.col("file_id").isNotNull())
+    return rows.select(F.col("trigram").cast("long").alias("term"), *ROW[1:]).join(known, "file_id", "left_semi").select(*ROW)
+
+
+def term_frequencies(postings: DataFrame, files: DataFrame, leaf_rows: int = LEAF_ROWS, memory_mb: int = 256) -> DataFrame:
+    """Per trigram over the valid rows: n_rows, n_files, sum_cnt. Exact duplicates (in the
+    table's five columns) count once; a null cnt adds nothing; no rows give none.
 
-    Leaves go to tasks by hash; DuckDB aggregates each task's leaves within ``memory_mb``,
-    spilling to the shared folder where that is a mounted path.
+    Leaves go to tasks by hash. DuckDB holds ``leaf_rows`` rows or one leaf at a time, within
+    ``memory_mb``. Should a leaf need more (one term, one record, very many repeats), it
+    spills to the shared folder where that is a mounted path, and nowhere else.
     """
-    spark = postings.sparkSession
-    groups = materialize(posting_groups(postings, files).select(F.col("trigram").cast("long").alias("term"), "file_id", "n_rows", "sum_cnt"), "radix-groups")
-    shared = shared_dir(spark)
-    spill = shared.removeprefix("file://") if shared.startswith(("file:", "/")) else None
-    spill = os.path.join(spill.removeprefix("file:"), "duckdb") if spill else None
-    leaves = radix_leaves(groups, "term", "file_id", leaf_rows).repartition(partitions_for(spark), "_leaf")
-    partial = leaves.select("term", "n_rows", "sum_cnt").mapInArrow(_duckdb_sums(spill, memory_mb), "term long, n_rows long, n_files long, sum_cnt long")
-    return partial.groupBy(F.col("term").cast("int").alias("trigram")).agg(F.sum("n_rows").alias("n_rows"), F.sum("n_files").alias("n_files"), F.sum("sum_cnt").alias("sum_cnt"))
+    rows = materialize(valid_rows(postings, files), "radix-rows")
+    sums = _row_sums(rows, leaf_rows, memory_mb)
+    discard(rows)
+    return sums
+
+
+def _row_sums(rows: DataFrame, leaf_rows: int, memory_mb: int) -> DataFrame:
+    shared = shared_dir(rows.sparkSession)
+    mounted = shared.removeprefix("file://") if shared.startswith(("file:", "/")) else ""
+    spill = os.path.join(mounted.removeprefix("file:"), "duckdb") if mounted else ""
+    leaves = radix_leaves(rows, "term", "file_id", leaf_rows).repartition("_leaf").sortWithinPartitions("_leaf")
+    partial = leaves.select("_leaf", *ROW).mapInArrow(_leaf_sums(spill, memory_mb, leaf_rows), "term long, n_rows long, n_files long, sum_cnt long")
+    sums = partial.groupBy(F.col("term").cast("int").alias("trigram")).agg(F.sum("n_rows").alias("n_rows"), F.sum("n_files").alias("n_files"), F.sum("sum_cnt").alias("sum_cnt"))
+    return materialize(sums, "radix-sums")
 
 
-def marked_frequencies(postings: DataFrame, files: DataFrame, rare_files: int = 2, common_share: tuple[int, int] = (1, 5), leaf_rows: int = 2_000_000) -> DataFrame:
+def marked_frequencies(postings: DataFrame, files: DataFrame, rare_files: int = 2, common_share: tuple[int, int] = (1, 5), leaf_rows: int = LEAF_ROWS, memory_mb: int = 256) -> DataFrame:
     """``term_frequencies`` with ``mark``: ``rare`` for at most ``rare_files`` files, else
     ``common`` for more than ``common_share`` of the files that have a valid row, else null."""
-    known = files.select("file_id").distinct()
-    held = postings.filter(F.col("trigram").isNotNull()).select("file_id").distinct().join(known, "file_id", "left_semi").count()
+    rows = materialize(valid_rows(postings, files), "radix-rows")
+    held = rows.select("file_id").distinct().count()
+    sums = _row_sums(rows, leaf_rows, memory_mb)
+    discard(rows)
     num, den = common_share
     mark = F.when(F.col("n_files") <= rare_files, F.lit("rare")).when(F.col("n_files") * den > F.lit(held * num), F.lit("common"))
-    return term_frequencies(postings, files, leaf_rows).withColumn("mark", mark)
+    return sums.withColumn("mark", mark)
 
 
 def build_claims(postings: DataFrame, files: DataFrame, build_stats: DataFrame) -> DataFrame:

@@ -54,17 +54,18 @@ def posting_groups(postings: DataFrame, files: DataFrame) -> DataFrame:
     """The rows that count, per (trigram, file_id): ``n_rows`` and ``sum_cnt``.
 
     A row counts if its trigram is not null and its file is known; exact duplicates (in the
-    table's five columns; others are not read) count once; a null cnt adds nothing. Repeats
-    are dropped within each task before any shuffle, and the key (trigram, file) spreads a
-    heavy trigram over its files and a heavy file over its trigrams. The check of the file is
-    a semi join: ``files`` is broadcast only below the engine's size threshold, and a skewed
-    side is split.
+    table's five columns; others are not read) count once; a null cnt adds nothing. Rows are
+    moved once, by (trigram, file), which spreads a heavy trigram over its files and a heavy
+    file over its trigrams: repeats meet there, and so do the rows of a group. The check of
+    the file is a semi join: ``files`` is broadcast only below the engine's size threshold,
+    and a skewed side is split.
     """
     cols = ["trigram", "file_id", "block", "cnt", "build_id"]
     known = files.select("file_id").filter(F.col("file_id").isNotNull()).distinct()
     rows = postings.select(*cols).filter(F.col("trigram").isNotNull() & F.col("file_id").isNotNull())
     groups = (
-        rows.distinct()
+        rows.repartition("trigram", "file_id")
+        .distinct()
         .groupBy("trigram", "file_id")
         .agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.coalesce(F.col("cnt").cast("long"), F.lit(0).cast("long"))).alias("sum_cnt"))
     )

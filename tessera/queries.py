@@ -96,6 +96,12 @@ def p5_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return radix.marked_frequencies(table(spark, d, "postings"), table(spark, d, "files"))
 
 
+def p5_small_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """``p5_frequencies`` with leaves so small that buckets are split over several levels,
+    and the heaviest terms by record, at every size of the tables."""
+    return radix.marked_frequencies(table(spark, d, "postings"), table(spark, d, "files"), leaf_rows=500)
+
+
 def p5_build_claims(spark: SparkSession, d: str) -> DataFrame:
     return radix.build_claims(table(spark, d, "postings"), table(spark, d, "files"), table(spark, d, "build_stats"))
 
@@ -125,6 +131,7 @@ FROM later b FULL JOIN earlier a ON a.target = b.target AND a.path = b.path
 WHERE a.target IS NULL OR b.target IS NULL OR {_DIFFERS}"""),
     "p5_found": (p5_found, f"{_MARKED} SELECT trigram, mark FROM marked WHERE mark IS NOT NULL"),
     "p5_frequencies": (p5_frequencies, f"{_MARKED} SELECT * FROM marked"),
+    "p5_small_leaves": (p5_small_leaves, f"{_MARKED} SELECT * FROM marked"),
     "p5_build_claims": (p5_build_claims, """WITH valid AS (SELECT DISTINCT trigram, file_id, block, cnt, build_id FROM postings
   WHERE trigram IS NOT NULL AND file_id IN (SELECT file_id FROM files)), held AS (
   SELECT build_id, count(DISTINCT trigram) AS t, count(*) AS e FROM valid GROUP BY build_id)

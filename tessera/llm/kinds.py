@@ -1,12 +1,14 @@
 """Source files nobody wrote by hand: generated, minified, third-party, or data kept as code.
 
-Each file is lexed (comments, literals, words, marks) and laid out anew in a canonical
-form, one statement to a line; then its own layout is held against that:
-
-* minified: the canonical form breaks each of the file's lines many times (extreme expansion);
-* generated: nearly all lines lex to one or two long shapes, evenly indented (perfect
-  uniformity), or the
-  file says so in a comment at its head, or has a name that generators give;
+Each file is lexed (comments, literals, words, marks) and, if its lines are long, written
+anew in a canonical form, one statement to a line; then its own lines are held against that:
+
+* minified: the canonical form breaks most of the file's lines, and each many times (extreme
+  expansion);
+* generated: nearly all lines lex to one or two long shapes, evenly indented, or to few
+  shapes with a checksum every so often, as locked versions are listed (perfect
+  uniformity); or the file says so in a comment at its head, or has a name that generators
+  give;
 * data: literals dominate, and next to no line holds a word outside them, so that a long
   string among code doesn't count;
 * third party: by the folder it lies in, by a notice at its head, or as a copy, whole or
@@ -21,7 +23,6 @@ from __future__ import annotations
 
 import io
 import re
-import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -56,32 +57,44 @@ _MARKS = re.compile(r"^[\s/*#<!;%>-]+|[\s*/>-]+$")
 _CLOSED = re.compile(r"(?:\s*/\*.*?\*/)+(?:\s*//.*)?")
 _QUOTED = re.compile(r"`[^`]*`|\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|「[^」]*」")
 
-_LITERALS = r'|(?P<lit>"""(?:.|\n)*?"""|"(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\'|`[^`]*`|(?<!\w)\d[\w.]*)|(?P<word>[^\W\d]\w*)|(?P<line>\n)|(?P<blank>[^\S\n]+)|(?P<mark>.)'
-_LEXERS = {
-    "slash": re.compile(r"(?P<note>//[^\n]*|/\*(?:.|\n)*?\*/)" + _LITERALS),
-    "hash": re.compile(r"(?P<note>#[^\n]*)" + _LITERALS),
-    "dash": re.compile(r"(?P<note>--[^\n]*|/\*(?:.|\n)*?\*/)" + _LITERALS),
-}
-_IMPORTS = {"import", "use", "from", "package", "include", "using", "require", "mod", "extern"}
-#: Lines of the preprocessor that tell nothing of layout; a #define does, with its remark.
-_DIRECTIVE = ["#"]
-_CONDITIONS = {"include", "import", "if", "ifdef", "ifndef", "elif", "elifdef", "elifndef", "else", "endif", "pragma", "undef", "error", "warning", "line"}
+_STRINGS = r'"""[\s\S]*?"""|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|' + r"'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|`[^`]*`"
+_LEXERS = {style: re.compile(rf"(?:{note})|({_STRINGS})") for style, note in (("slash", r"//[^\n]*|/\*[\s\S]*?\*/"), ("hash", r"#[^\n]*"), ("dash", r"--[^\n]*|/\*[\s\S]*?\*/"))}
+_NUMBER = re.compile(r"(?<!\w)\d[\w.]*")
+_TOKEN = re.compile(r"[^\W\d]\w*|\d[\w.]*|[^\w\s]")
+_ENDS = re.compile(r"([;{}])")
+#: What stands for a comment.
+_NOTE = "\x01"
+#: Letters as one, digits as one, then words and numbers as one mark each, blanks dropped.
+_CLASSES = str.maketrans({c: "w" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_"} | {c: "0" for c in "0123456789"})
+_RUNS, _ANY_RUNS = re.compile(r"(w)[w0]*|(0)[w0.]*"), re.compile(r"([^\W\d]\w*)|\d[\w.]*")
+_BLANKS = str.maketrans("", "", " \t\r\f\v")
+#: Words that begin imports, and lines of the preprocessor that tell nothing of layout; a #define does, with its remark.
+_IMPORTS = frozenset("import use from package include using require mod extern".split())
+_CONDITIONS = re.compile(r"\s*#\s*(include|import|if|ifdef|ifndef|elif|elifdef|elifndef|else|endif|pragma|undef|error|warning|line)\b")
+_FIRST = re.compile(r"\s*(\w+)")
+#: Checksums, and what texts with any contain, as lists of locked versions carry them.
+_DIGEST = re.compile(r"\b(?:sha\d{1,3}[-:=]|h1:)[\w+/=-]{20,}|\b[0-9a-f]{40,128}\b")
+_DIGEST_NAMES = "sha1 sha2 sha3 sha5 h1: checksum".split()
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_SHINGLE_WORD = re.compile(r"\w+|[^\w\s]")
 
 #: Texts with fewer characters than this, blanks aside, are nobody's case.
 TINY = 40
 _ENOUGH = re.compile(r"(?:\s*+\S){%d}" % TINY)
 HEAD_LINES = 20
 EXPANSION = 8.0
+KEPT = 0.5
 DENSE = 120
 #: Characters, marks and words, of a line in the canonical form.
 WIDTH = 100
 UNIFORM_LINES = 5
 UNIFORM_SHAPE = 8
+LOCKED, LOCK_SHAPES = 3, 8
 LITERAL_SHARE = 0.7
 SHINGLE = 5
 CONTAINED = 0.8
+#: Characters whose words are hashed together.
+STRETCH = 1 << 19
+_BLANK_RUN = re.compile(r"\s")
 LEAST_SHINGLES = 20
 #: Known library texts up to this many bytes are looked up in each task; beyond, they are joined.
 KNOWN_BYTES = 64 << 20
@@ -97,65 +110,112 @@ def style_of(path: str | None, lang: str | None) -> str:
     return "slash"
 
 
-def layout(text: str, style: str) -> dict[str, float]:
-    """What lexing says: code lines, characters per code line, canonical lines per code
-    line, share of literals, lines with words, and how uniform the lines are.
-
-    The canonical form breaks after each statement, brace, and comma outside of
-    parentheses (of joined statements, or members), and before a word that would pass
-    ``WIDTH``, literals aside. Its lines are counted as they arise, its text isn't kept."""
-    per_line: list[list[str]] = [[]]
-    indents: Counter = Counter()
-    literal = code = canonical = width = 0
+def _stripped(text: str, style: str) -> tuple[str, int, int]:
+    """The text with each comment and string as one mark; how many strings there are, and
+    their characters."""
+    sizes: list[int] = []
+
+    def mark(m: re.Match) -> str:
+        if m[1] is None:
+            return _NOTE
+        sizes.append(len(m[1]))
+        return '"'
+
+    return _LEXERS[style].sub(mark, text), len(sizes), sum(sizes)
+
+
+def _shown(plain: str) -> str:
+    """``plain`` with each word and number as one mark, and no blanks but line ends."""
+    if plain.isascii():
+        return _RUNS.sub(r"\1\2", plain.translate(_CLASSES)).translate(_BLANKS)
+    marked = _ANY_RUNS.sub(lambda m: "w" if m[1] else "0", plain)
+    return "\n".join("".join(x.split()) for x in marked.split("\n"))
+
+
+def _broken(line: str, style: str) -> Iterator[str]:
+    """A long line's statements and parts: a break after each end of a statement and brace,
+    after commas outside of parentheses (of joined statements, or members), and before a
+    word that would pass ``WIDTH``."""
     open_at: list[str] = []
-    words_at: set[int] = set()
-    for m in _LEXERS[style].finditer(text):
-        kind, tok = m.lastgroup, m[0]
-        if kind == "line":
-            per_line.append([])
-            width = 0
-        elif kind == "lit":
-            literal += len(tok)
-            code += len(tok)
-            per_line[-1].append("n" if tok[0].isdigit() else "s")
-        elif kind == "word":
-            code += len(tok)
-            width += len(tok) + 1
-            if width > WIDTH:
-                canonical, width = canonical + 1, len(tok)
-            words_at.add(len(per_line))
-            at = per_line[-1]
-            at.append(tok if (tok in _IMPORTS if not at else at == _DIRECTIVE and tok in _CONDITIONS) else "w")
-        elif kind == "blank" and not per_line[-1]:
-            indents[tok] += 1
-        elif kind == "note" and per_line[-1][:1] == _DIRECTIVE:
-            per_line[-1].append("/**/")
-        elif kind == "mark":
-            code += 1
-            width += 1
-            if tok in "([{":
-                open_at.append(tok)
-            elif tok in ")]}" and open_at:
-                open_at.pop()
-            if tok in ";{}" or tok == "," and style == "slash" and not (open_at and open_at[-1] in "(["):
-                canonical, width = canonical + 1, 0
-            per_line[-1].append(tok)
-    lines = [x for x in per_line if x]
-    shapes = Counter("".join(x) for x in lines if x[0] not in _IMPORTS and not (x[0] == "#" and len(x) > 1 and x[1] in _CONDITIONS) and len(x) > 2)
+    made: list[str] = []
+    width = 0
+    for tok in _TOKEN.findall(line):
+        word, number = tok[0].isalnum() or tok[0] == "_", tok[0].isdigit()
+        if made and word and not number and width + len(tok) > WIDTH:
+            yield " ".join(made)
+            made, width = [], 0
+        made.append(tok)
+        width += 0 if number or tok == '"' else len(tok) + word
+        if tok in "([{":
+            open_at.append(tok)
+        elif tok in ")]}" and open_at:
+            open_at.pop()
+        if tok in ";{}" or tok == "," and style == "slash" and not (open_at and open_at[-1] in "(["):
+            yield " ".join(made)
+            made, width = [], 0
+    if made:
+        yield " ".join(made)
+
+
+def canonical(plain: str, style: str) -> list[list[str]]:
+    """The canonical text of each code line of ``plain`` (``_stripped``), as the lines that it
+    becomes: without comments, blanks put right, one statement or brace to a line, and none
+    longer than ``WIDTH`` that can be broken."""
+    out = []
+    for line in plain.replace(_NOTE, " ").split("\n"):
+        x = " ".join(line.split())
+        if x:
+            out.append(list(_broken(x, style)) if len(x) > WIDTH else [y for y in map(str.strip, _ENDS.sub("\\1\n", x).split("\n")) if y])
+    return out
+
+
+def _tells(line: str, shape: str) -> bool:
+    """If a line tells something of layout: imports and conditions don't."""
+    if len(shape) < 3:
+        return False
+    if shape[0] == "#":
+        return not _CONDITIONS.match(line)
+    return shape[0] != "w" or _FIRST.match(line.replace(_NOTE, " "))[1] not in _IMPORTS
+
+
+def layout(text: str, style: str) -> dict[str, float]:
+    """The file's layout, and what becomes of it in canonical form.
+
+    ``lines`` of code, ``dense`` characters to each; where that is much, ``expansion``, the
+    canonical lines to each, and the share ``kept`` as they were; the lines with words and,
+    where these are few, the share of ``literal`` characters; and of the lines that tell
+    something, their shapes (words, numbers and strings as one mark each): the shares of
+    the two most frequent and of the first, its length, their number, and that of indents.
+    """
+    digests = 0
+    if any(x in text for x in _DIGEST_NAMES):
+        text, digests = _DIGEST.subn('"-"', text)
+    plain, strings, chars = _stripped(text, style)
+    every = _shown(plain).split("\n")
+    at = [i for i, y in enumerate(every) if y.strip(_NOTE)]
+    n_lines = len(at)
+    code = len("".join(plain.split())) - plain.count(_NOTE) - strings + chars
+    dense = code / max(1, n_lines)
+    word_lines = sum("w" in every[i] for i in at)
+    out = {"lines": n_lines, "dense": dense, "expansion": 1.0, "kept": 1.0, "literal": 0.0, "word_lines": word_lines, "digests": digests}
+    if word_lines <= _few_words(n_lines):
+        out["literal"] = (chars + sum(map(len, _NUMBER.findall(plain)))) / max(1, code)
+    if dense >= DENSE:
+        made = canonical(plain, style)
+        out["expansion"] = sum(map(len, made)) / max(1, n_lines)
+        out["kept"] = sum(len(m) == 1 for m in made) / max(1, n_lines)
+    lines = plain.split("\n")
+    bare = [(i, every[i].replace(_NOTE, "/**/" if every[i][0] == "#" else "")) for i in at]
+    shapes = Counter(y for i, y in bare if _tells(lines[i], y))
     top = shapes.most_common(2)
     n = sum(shapes.values())
-    return {
-        "lines": len(lines),
-        "dense": code / max(1, len(lines)),
-        "expansion": canonical / max(1, len(lines)),
-        "literal": literal / max(1, code),
-        "word_lines": len(words_at),
-        "shaped": n,
-        "uniform": sum(c for _, c in top) / n if n else 0.0,
-        "first": top[0][1] / n if n else 0.0,
-        "shape": len(top[0][0]) if top else 0,
-        "indents": len(indents) + (sum(indents.values()) < len(lines)),
-    }
+    uniform = sum(c for _, c in top) / n if n else 0.0
+    indents = len({x[: len(x) - len(x.lstrip())] for x in (lines[i] for i in at)}) if uniform >= 0.9 else 0
+    return out | {"shaped": n, "uniform": uniform, "first": top[0][1] / n if n else 0.0, "shape": len(top[0][0]) if top else 0, "shapes": len(shapes), "indents": indents}
+
+
+def _few_words(lines: int) -> int:
+    return max(4, lines // 10)
 
 
 def _head_comments(text: str) -> Iterator[str]:
@@ -225,30 +285,102 @@ def kinds_of(text: str | None, path: str | None, lang: str | None) -> set[str]:
     if style == "prose":
         return out
     x = layout(text, style)
-    if x["literal"] >= LITERAL_SHARE and x["word_lines"] <= max(4, x["lines"] // 10) and x["lines"] > 0:
+    if x["literal"] >= LITERAL_SHARE and x["word_lines"] <= _few_words(x["lines"]) and x["lines"] > 0:
         out.add("data")
-    elif x["expansion"] >= EXPANSION and x["dense"] >= DENSE or MINIFIED_NAME.search(path) and x["dense"] >= DENSE:
+    elif x["expansion"] >= EXPANSION and x["kept"] < KEPT and x["dense"] >= DENSE or MINIFIED_NAME.search(path) and x["dense"] >= DENSE:
         out.add("minified")
     elif x["shaped"] >= UNIFORM_LINES and x["uniform"] >= 0.97 and x["first"] >= 0.5 and x["shape"] >= UNIFORM_SHAPE and x["indents"] <= 2 and not path.endswith((".yaml", ".yml", ".sh")):
         out.add("generated")
+    elif x["digests"] >= LOCKED and x["digests"] * 8 >= x["lines"] and x["shapes"] <= LOCK_SHAPES and x["lines"] >= UNIFORM_LINES:
+        out.add("generated")
     return out
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The distinct hashes of every five words in a row; words are runs of letters and
-    digits, or single marks. Fewer than five words have none. Each distinct word is
-    hashed once, and the hashes of five are mixed into one of 64 bits."""
-    words = _SHINGLE_WORD.findall(text or "")
-    n = len(words) - SHINGLE + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    codes = {w: zlib.crc32(b) << 32 | zlib.crc32(b[::-1]) for w, b in ((w, w.encode()) for w in set(words))}
-    x = np.fromiter(map(codes.__getitem__, words), np.uint64, len(words)) * _MIX
+_KINDS: list[np.ndarray] = []
+
+
+def _kinds() -> np.ndarray:
+    """Of each code point: 1 for a part of a word, 2 for a mark, 0 for a blank."""
+    if not _KINDS:
+        every = "".join(map(chr, range(0x110000)))
+        kind = np.full(0x110000, 2, np.uint8)
+        for pattern, k in ((r"\w+", 1), (r"\s+", 0)):
+            for m in re.finditer(pattern, every):
+                kind[m.start() : m.end()] = k
+        _KINDS.append(kind)
+    return _KINDS[0]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> np.uint64(31)) * _MIX
-    made = x[:n]
-    for i in range(1, SHINGLE):
-        made = (made ^ made >> np.uint64(29)) * _MIX + x[i : n + i]
-    return np.unique(made.view(np.int64))
+    return x ^ x >> np.uint64(29)
+
+
+def _words(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word begins, and its hash; words are runs of letters and digits, or
+    single marks. A character counts with its place in the word."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _kinds()[points]
+    word = kind == 1
+    begins = kind == 2
+    begins[1:] |= word[1:] & ~word[:-1]
+    begins[:1] |= word[:1]
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return starts, np.zeros(0, np.uint64)
+    held = np.flatnonzero(kind)
+    place = held - starts[np.cumsum(begins)[held] - 1]
+    terms = _mixed((points[held].astype(np.uint64) + np.uint64(1) + (place.astype(np.uint64) << np.uint64(21))) * _MIX)
+    return starts, _mixed(np.add.reduceat(terms, np.flatnonzero(begins[held])))
+
+
+def _stretches(texts: list[str | None]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Texts put together to about ``STRETCH`` characters, with where each begins and its
+    number. A longer text comes in parts that have ``SHINGLE`` - 1 words in common, so that
+    each shingle lies whole in one."""
+    parts: list[str] = []
+    begins: list[int] = []
+    owner: list[int] = []
+    size = 0
+    for i, text in enumerate(texts):
+        at = 0
+        while text and at < len(text):
+            end, again = at, at
+            while end < len(text) and again == at:  # on to the end of a word, back by some words
+                blank = _BLANK_RUN.search(text, end + STRETCH)
+                end = blank.end() if blank else len(text)
+                again = at + int((_words(text[at:end])[0][1 - SHINGLE :].tolist() or [0])[0]) if end < len(text) else end
+            piece = text[at:end]
+            if size and size + len(piece) > STRETCH:
+                yield "\n".join(parts), np.array(begins), np.array(owner)
+                parts, begins, owner, size = [], [], [], 0
+            parts.append(piece)
+            begins.append(size)
+            owner.append(i)
+            size += len(piece) + 1
+            at = again
+    if parts:
+        yield "\n".join(parts), np.array(begins), np.array(owner)
+
+
+def _shingled(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, text numbers): every five words in a row, in order."""
+    for joined, begins, owner in _stretches(texts):
+        starts, x = _words(joined)
+        n = len(x) - SHINGLE + 1
+        if n <= 0:
+            continue
+        whose = np.searchsorted(begins, starts, side="right") - 1
+        made = x[:n]
+        for i in range(1, SHINGLE):
+            made = (made ^ made >> np.uint64(29)) * _MIX + x[i : n + i]
+        whole = whose[:n] == whose[SHINGLE - 1 :]
+        yield made[whole].view(np.int64), owner[whose[:n][whole]]
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct 64-bit hashes of every five words in a row; a text of fewer has none."""
+    return np.unique(np.concatenate([h for h, _ in _shingled([text])] or [np.zeros(0, np.int64)]))
 
 
 class KnownTexts:
@@ -261,7 +393,11 @@ class KnownTexts:
         order = np.argsort(every, kind="stable")
         self.hashes, self.owner = every[order], owner[order]
 
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[self.hashes & ((1 << 20) - 1)] = True
+
     def holds_copy(self, own: np.ndarray) -> bool:
+        """If the distinct shingles ``own`` make a copy of any known text."""
         lo, hi = np.searchsorted(self.hashes, own), np.searchsorted(self.hashes, own, side="right")
         n = hi - lo
         if not n.any():
@@ -271,6 +407,25 @@ class KnownTexts:
         least = np.minimum(self.sizes, len(own))
         return bool(((shared >= CONTAINED * least) & (least >= LEAST_SHINGLES)).any())
 
+    def copies(self, texts: list[str | None]) -> set[int]:
+        """The numbers of those ``texts`` that are copies. Only a text with a known shingle
+        is looked at by itself."""
+        parts = list(_shingled(texts))
+        near: set[int] = set()
+        for hashes, owner in parts:
+            maybe = np.flatnonzero(self.seen[hashes & ((1 << 20) - 1)])
+            at = np.searchsorted(self.hashes, hashes[maybe])
+            held = at < len(self.hashes)
+            held[held] = self.hashes[at[held]] == hashes[maybe[held]]
+            near.update(np.unique(owner[maybe[held]]).tolist())
+        own: dict[int, list[np.ndarray]] = {i: [] for i in near}
+        for hashes, owner in parts:
+            cuts = np.flatnonzero(np.diff(owner)) + 1
+            for i, piece in zip(owner[np.concatenate(([0], cuts))].tolist() if len(owner) else [], np.split(hashes, cuts)):
+                if i in near:
+                    own[i].append(piece)
+        return {i for i, x in own.items() if self.holds_copy(np.unique(np.concatenate(x)))}
+
 
 _FIELDS = ("generated", "minified", "third_party", "data")
 
@@ -279,10 +434,10 @@ def _judge(known: KnownTexts | None) -> Callable[[Iterator[pa.RecordBatch]], Ite
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flags: dict[str, list[bool]] = {f: [] for f in _FIELDS}
-            for text, path, lang in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                kinds = kinds_of(text, path, lang)
-                if known is not None and text and known.holds_copy(shingles(text)):
-                    kinds = kinds | {"third_party"}
+            texts, paths, langs = (batch.column(i).to_pylist() for i in (1, 2, 3))
+            copies = known.copies(texts) if known is not None else ()
+            for i, (text, path, lang) in enumerate(zip(texts, paths, langs)):
+                kinds = kinds_of(text, path, lang) | ({"third_party"} if i in copies else set())
                 for f in _FIELDS:
                     flags[f].append(f in kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(flags[f], pa.bool_()) for f in _FIELDS)], names=["row", *_FIELDS])

@@ -1,7 +1,9 @@
 """What is and what is not written by hand."""
 
 import random
+import re
 
+import numpy as np
 import pytest
 
 from tessera.llm import kinds
@@ -146,3 +148,50 @@ def test_copies_with_null_and_repeated_keys(spark):
         rows = kinds.source_kinds(df, items, known_bytes=limit).collect()
         told.append(sorted(((r.doc_id or 0), r.third_party) for r in rows))
     assert told[0] == told[1] == sorted([(0, True), (0, False), (1, True), (2, False), (2, False), (3, True), (3, False), (0, False), (4, False)])
+
+
+def test_canonical_form():
+    plain, strings, chars = kinds._stripped('a = "x;y"; // note; note\nif (b) { c(1, 2); } /* d\n; */', "slash")
+    assert (strings, chars) == (1, 5) and plain.count("\n") == 1
+    assert kinds.canonical(plain, "slash") == [['a = ";'], ["if (b) {", "c(1, 2);", "}"]]
+    long = "var " + ",".join(f"name{i}=call(a,b)" for i in range(20)) + ";"
+    made = kinds.canonical(long, "slash")
+    assert len(made) == 1 and len(made[0]) == 20 and made[0][1] == "name1 = call ( a , b ) ,"
+    assert "".join(made[0]).replace(" ", "") == long.replace(" ", "")  # nothing is lost
+    words = kinds.canonical(" ".join(["word"] * 100), "hash")[0]
+    assert max(map(len, words)) <= kinds.WIDTH and len(words) == 5
+
+
+def test_shown_forms_agree():
+    for text in ("x1 = 0xac2a + 1.5e3; é2 = y_3", "for i in range(10):\n\tprint(i, 2)", "", "1a b_2.c 3"):
+        ascii_only = kinds._shown(text.replace("é", "e"))
+        assert kinds._shown(text + "\u00e9") == kinds._shown(text.replace("é", "e") + "e") and " " not in ascii_only
+    assert kinds._shown("x1 = 0xac2a + 1.5e3") == "w=0+0"
+
+
+def test_layout_alone_finds_locked_versions_and_leading_blanks_hide_nothing():
+    lock = "version = 3\n\n" + "".join(f'[[package]]\nname = "p{i}"\nversion = "1.{i}.0"\nchecksum = "{"0123456789abcdef" * 4}"\n\n' for i in range(6))
+    assert kinds.kinds_of(lock, "deps.toml", None) == {"generated"}
+    same = "".join(f"entries.push(new Entry({i}, names[{i}], 0x{i:04x}));\n" for i in range(40))
+    assert kinds.kinds_of(same, "a.js", "js") == {"generated"} == kinds.kinds_of(" " * 3000 + "\n" * 3000 + same, "a.js", "js")
+    notice = "// Code generated by x. DO NOT EDIT.\n" + "\n".join(f"f{i}(a, {'b' * i});" for i in range(9))
+    assert kinds.kinds_of("\n" * 4000 + notice, "a.go", "go") == {"generated"}
+
+
+def test_shingles_of_parts_are_those_of_the_whole(monkeypatch):
+    rng = random.Random(5)
+    text = "".join(rng.choice(["alpha ", "b1 ", "(", ") ", "\n", "é", "長い", "_x9 ", "longword" * 9 + " "]) for _ in range(3000))
+    def brute(t):
+        words = re.findall(r"\w+|[^\w\s]", t)
+        return len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+    whole = kinds.shingles(text)
+    assert len(whole) == brute(text) and len(kinds.shingles("a b c d")) == 0 == len(kinds.shingles(None))
+    for size in (1, 7, 300):
+        monkeypatch.setattr(kinds, "STRETCH", size)
+        assert np.array_equal(kinds.shingles(text), whole) and len(kinds.shingles("x" * 5000)) == 0
+        texts = [text[:900], None, "", "a b", text[900:2000], "y" * 999, text]
+        got = {i: set() for i in range(len(texts))}
+        for hashes, owner in kinds._shingled(texts):
+            for i in np.unique(owner).tolist():
+                got[i] |= set(hashes[owner == i].tolist())
+        assert all(got[i] == set(kinds.shingles(t).tolist()) for i, t in enumerate(texts))

@@ -36,12 +36,21 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at a table
-    that survives the loss of executors, and later scans prune its columns."""
+    that survives the loss of executors, and later scans prune its columns. The shuffle
+    files of the write go with its end, as nothing reads them again."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
-    df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.options(**({"compression": "zstd"} | options)).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -77,6 +86,14 @@ def discard(df: DataFrame) -> None:
             SharedFolder(spark, folder).remove()
 
 
+def partitions_of(df: DataFrame, each: int = 8 << 20) -> int:
+    """How many partitions a table that ``materialize`` wrote is worked on in: by its bytes,
+    whatever the session's number, and no fewer than there are cores."""
+    spark = df.sparkSession
+    size = sum(SharedFolder(spark, folder).size() for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()})
+    return max(spark.sparkContext.defaultParallelism, -(-size // each))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -94,10 +111,6 @@ def ship(spark: SparkSession) -> None:
     sc.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
 
 
-def partitions_for(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 class SharedFolder:
     """Small files in a folder of any file system that the session reaches.
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.pretokens import words_of
-from tessera.runtime import materialize, partitions_for, spread
+from tessera.runtime import materialize, partitions_of, spread
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Words of text per block, and rows of words replayed together.
@@ -240,16 +240,16 @@ def _decoder(counts_only: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
 
 
 def _encoded(df: DataFrame, key: str, text: str, tokenizer: str, counts_only: bool) -> DataFrame:
-    spark = df.sparkSession
     kind = df.schema[key].dataType
     m = load_merges(tokenizer)
     schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("key", kind), T.StructField("codes", T.BinaryType()), T.StructField("words", T.ArrayType(T.BinaryType()))])
     coded = materialize(spread(df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))).mapInArrow(_coder(BLOCK_WORDS), schema), "bpe-coded")
     words = coded.filter(F.col("words").isNotNull()).select("block", F.posexplode("words").alias("idx", "word"))
-    known = words.repartition(partitions_for(spark), "word").mapInArrow(_replayer(m, REPLAY_ROWS), "block long, idx int, ids binary")
+    n = partitions_of(coded)
+    known = words.repartition(n, "word").mapInArrow(_replayer(m, REPLAY_ROWS), "block long, idx int, ids binary")
     out = T.StructType([T.StructField("key", kind), T.StructField("n_tokens", T.LongType()) if counts_only else T.StructField("ids", T.ArrayType(T.IntegerType()))])
     docs = coded.filter(F.col("words").isNull()).select("block", "key", "codes")
-    return docs.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_decoder(counts_only), out).withColumnRenamed("key", key)
+    return docs.repartition(n, "block").groupBy("block").cogroup(known.repartition(n, "block").groupBy("block")).applyInArrow(_decoder(counts_only), out).withColumnRenamed("key", key)
 
 
 def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:

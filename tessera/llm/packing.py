@@ -246,7 +246,8 @@ def pack(counts: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacit
     plan, _ = plan_containers(histogram, capacity, rounds)
     ahead = W.partitionBy("n_tokens").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     shifts = per.select("task", "n_tokens", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    placed = ranked.join(shifts, ["task", "n_tokens"]).select("key", "part", "n_tokens", (F.col("ahead") + F.col("local")).alias("rank"))
+    placed = ranked.join(shifts.hint("merge"), ["task", "n_tokens"]).select("key", "part", "n_tokens", (F.col("ahead") + F.col("local")).alias("rank"))
+    # the shifts grow with the number of tasks, so they are joined, never broadcast
     return placed.mapInArrow(_placer(slots_of(plan)), T.StructType([*fields, T.StructField("container", T.LongType())])).withColumnRenamed("key", key)
 
 

@@ -197,6 +197,7 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     pieces = materialize(pieces, "span-pieces")
     discard(runs)
     tagged = materialize(pieces.join(_in_two_records(pieces, "whole"), "whole", "left").drop("whole"), "span-wholes")
+    discard(pieces)
     settled = tagged.filter("a IS NOT NULL").select("key", "lo", "hi")
     rims = tagged.filter("a IS NULL").select("key", F.col("key").alias("a"), F.col("key").alias("b"), "lo", "text", "name")
     inner = tagged.filter("key = a").select(F.lit(None).cast(kind.dataType).alias("key"), "a", "b", "lo", "text", "name")
@@ -208,7 +209,9 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     single = windows.filter(F.col("key").isNotNull()).join(counted, "hash", "left_semi").select("key", "lo", F.col("lo").alias("hi"))
     by = W.partitionBy("key").orderBy("lo")
     reach = F.max("stop").over(by.rowsBetween(W.unboundedPreceding, -1))
-    parts = settled.unionByName(single).select("key", "lo", (F.col("hi") + length).alias("stop"))
+    parts = materialize(settled.unionByName(single).select("key", "lo", (F.col("hi") + length).alias("stop")), "span-parts")
+    discard(tagged)
+    discard(windows)
     island = F.sum(F.when(F.col("lo") <= F.col("reach"), 0).otherwise(1)).over(by.rowsBetween(W.unboundedPreceding, 0))
     merged = parts.withColumn("reach", reach).withColumn("island", island).groupBy("key", "island").agg(F.min("lo").alias("span_start"), F.max("stop").alias("span_end"))
     return merged.select(F.col("key").alias(key), "span_start", "span_end")

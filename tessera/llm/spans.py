@@ -192,10 +192,11 @@ def shared_spans(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     runs = materialize(spread(docs).mapInArrow(_runs(length, gram), T.StructType([kind, *long("name", "lo", "hi")])), "span-runs")
     named = _in_two_records(runs, "name").select("name")
     packed = runs.select("name", "key", (F.shiftleft("lo", _SPAN_BITS) + F.col("hi") - F.col("lo")).alias("at"))
-    near = packed.join(named, "name", "left_semi").groupBy("key").agg(F.collect_list(F.struct("name", "at")).alias("runs"))
+    near = materialize(packed.join(named, "name", "left_semi").groupBy("key").agg(F.collect_list(F.struct("name", "at")).alias("runs")), "span-near")
+    discard(runs)
     pieces = docs.join(near, "key").select("key", "text", "runs").mapInArrow(_wholes(length), T.StructType([kind, *long("name", "lo", "hi", "whole"), T.StructField("text", T.StringType())]))
     pieces = materialize(pieces, "span-pieces")
-    discard(runs)
+    discard(near)
     tagged = materialize(pieces.join(_in_two_records(pieces, "whole"), "whole", "left").drop("whole"), "span-wholes")
     discard(pieces)
     settled = tagged.filter("a IS NOT NULL").select("key", "lo", "hi")

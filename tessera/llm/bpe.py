@@ -32,7 +32,7 @@ from tessera.runtime import materialize, partitions_of, spread
 
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 #: Words of text per block, and rows of words replayed together.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 400_000
 REPLAY_ROWS = 1_500_000
 
 
@@ -249,7 +249,8 @@ def _encoded(df: DataFrame, key: str, text: str, tokenizer: str, counts_only: bo
     known = words.repartition(n, "word").mapInArrow(_replayer(m, REPLAY_ROWS), "block long, idx int, ids binary")
     out = T.StructType([T.StructField("key", kind), T.StructField("n_tokens", T.LongType()) if counts_only else T.StructField("ids", T.ArrayType(T.IntegerType()))])
     docs = coded.filter(F.col("words").isNull()).select("block", "key", "codes")
-    return docs.repartition(n, "block").groupBy("block").cogroup(known.repartition(n, "block").groupBy("block")).applyInArrow(_decoder(counts_only), out).withColumnRenamed("key", key)
+    at = 4 * n  # blocks have no equal share of partitions, so these are small
+    return docs.repartition(at, "block").groupBy("block").cogroup(known.repartition(at, "block").groupBy("block")).applyInArrow(_decoder(counts_only), out).withColumnRenamed("key", key)
 
 
 def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:

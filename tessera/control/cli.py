@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.control import hooks
 from tessera.control.engine import INDEX_VARIABLE, Engine, local_root, resolve_index_path
 from tessera.control.readonly import is_read_only
+from tessera.operators import grep
 from tessera.plans.hir import PatternError
 from tessera.runtime import ship
 from tessera.sources.index import Index, IndexFormatError, open_index
@@ -68,13 +69,8 @@ def parser() -> argparse.ArgumentParser:
 
 def formatted(rows: DataFrame, mode: str, names: bool, numbers: bool) -> Iterator[str]:
     """Result rows as text, in order, streamed a partition at a time."""
-    for r in rows.toLocalIterator(prefetchPartitions=True):
-        if mode == "files":
-            yield r.path
-        elif mode == "counts":
-            yield f"{r.path}:{r.n}" if names else f"{r.n}"
-        else:
-            yield (f"{r.path}:" if names else "") + (f"{r.line_no}:" if numbers else "") + r.line
+    for r in rows.select(grep.rendered(mode, names, numbers).alias("line")).toLocalIterator(prefetchPartitions=True):
+        yield r.line
 
 
 def search(index: Index, args: argparse.Namespace, out=sys.stdout, err=sys.stderr) -> int:
@@ -94,9 +90,9 @@ def search(index: Index, args: argparse.Namespace, out=sys.stdout, err=sys.stder
         return MATCHED  # the reader has had enough
     lost = index.lost_files(index.found_files(args.regexp, args.ignore_case, args.brute, args.file_regexp)).first()
     if lost.missing:
-        print(f"{lost.missing} indexed file(s) no longer exist; refresh the index", file=err)
+        print(f"{lost.missing} file(s) of the index are gone; a refresh drops them", file=err)
     if lost.unreadable:
-        print(f"{lost.unreadable} indexed file(s) could not be read", file=err)
+        print(f"{lost.unreadable} file(s) of the index denied reading", file=err)
     return MATCHED if shown else NO_MATCH
 
 

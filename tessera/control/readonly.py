@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 #: The commands that only report, and the global options of the command line.
-REPORTS = set(
-    "annotate branches changelists changes clients counters depots describe diff diff2 dirs filelog files fixes fstat grep groups have help "
-    "ignores info interchanges jobs labels login logout opened ping protects reviews sizes status streams tickets users where workspaces".split()
+REPORTS = (
+    "annotate", "branches", "changelists", "changes", "clients", "counters", "depots", "describe", "diff", "diff2", "dirs", "filelog", "files",
+    "fixes", "fstat", "grep", "groups", "have", "help", "ignores", "info", "interchanges", "jobs", "labels", "login", "logout", "opened", "ping",
+    "protects", "reviews", "sizes", "status", "streams", "tickets", "users", "where", "workspaces",
 )
 VALUED, PLAIN, PRINTS = set("bcCdHLpPQruvxz"), set("eGIqRs"), set("Vh?")
 

@@ -6,7 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -108,6 +108,15 @@ def matching_files(texts: DataFrame, pattern: str, key: str, content: str, ignor
     return _with_text(texts, key, content, f"exists({_lines_of('_text')}, l -> {_line_test(to_java(node))})").selectExpr(f"_key AS `{key}`")
 
 
+def rendered(mode: str, names: bool = True, numbers: bool = False) -> Column:
+    """A result row as a line of text: of ``files`` the path, of ``counts`` the count, of
+    ``lines`` the line, with the path and the line's number before it if asked for."""
+    if mode == "files":
+        return F.col("path")
+    parts = [F.col("path")] * names + ([F.col("n").cast("string")] if mode == "counts" else [F.col("line_no").cast("string")] * numbers + [F.col("line")])
+    return F.concat_ws(":", *parts)
+
+
 def name_filter(names: DataFrame, pattern: str, column: str = "path") -> DataFrame:
     """Names that the expression occurs in: never case-insensitive, and text anchors only."""
     return names.filter(F.col(column).rlike(to_java(hir.parse(pattern, multi_line=False, crlf=False))))

@@ -87,7 +87,7 @@ def plan_roots(
         if bare(r.path) in unwanted:
             notes.append(f"{r.path}: removed")
         elif not is_dir(r.path):
-            notes.append(f"{r.path}: no longer exists, dropped from the index")
+            notes.append(f"{r.path}: is gone; taken off the list of roots")
         else:
             path = real(r.path)
             wanted[bare(path)] = Root(path, source if source and not named else r.source)
@@ -98,4 +98,4 @@ def plan_roots(
         first = GIT if bare(path) == at_home and is_repository(path) else WALK
         wanted[bare(path)] = Root(known.path if known else path, source or (known.source if known else first))
     kept, dropped = collapse_list(list(wanted.values()))
-    return RootPlan(kept, notes + [f"{c} is inside {p}, not indexing it twice" for c, p in dropped])
+    return RootPlan(kept, notes + [f"{c}: left to {p}, which holds it" for c, p in dropped])

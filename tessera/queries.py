@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.engine_queries import ENGINE_QUERIES
 from tessera.operators import intervals, radix, skew, snapdiff
 from tessera.runtime import fresh_path, table
 from tessera.search_queries import SEARCH_QUERIES
@@ -141,4 +142,4 @@ SELECT b.build_id, b.distinct_trigrams AS claimed_trigrams, b.posting_entries AS
 
 
 def catalogue() -> dict[str, tuple[Query, str | None]]:
-    return DATA_QUERIES | SEARCH_QUERIES
+    return DATA_QUERIES | SEARCH_QUERIES | ENGINE_QUERIES

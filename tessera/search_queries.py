@@ -175,10 +175,6 @@ def index_names(spark: SparkSession, d: str) -> DataFrame:
     return _store(spark, d).table("files").select("file_id", "path")
 
 
-def index_problems(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(p,) for p in _store(spark, d).problems()], "problem string")
-
-
 # Candidates
 
 
@@ -189,6 +185,12 @@ def _cand(pattern: str, ignore_case: bool = False) -> Query:
     return run
 
 
+def cand_none(spark: SparkSession, d: str) -> DataFrame:
+    """An expression that nothing can match: how it is written, and its candidates."""
+    never = "[^\\s\\S]abc"
+    return _cand(never)(spark, d).agg(F.count(F.lit(1)).alias("candidates")).select(F.lit(str(regexp_query(never))).alias("query"), "candidates")
+
+
 def posting_intersect(spark: SparkSession, d: str) -> DataFrame:
     p = index.posting_rows(_postings(spark, d), "doc_id")
     pick = lambda t: p.filter(F.col("trigram") == int.from_bytes(t, "big")).select("doc_id")
@@ -238,7 +240,7 @@ def search_multiline(spark: SparkSession, d: str) -> DataFrame:
 
 def search_index_counts(spark: SparkSession, d: str) -> DataFrame:
     """Through a stored index, from its files and postings to the lines."""
-    return _store(spark, d).search_counts("return [a-z]+\\(", contents=_contents(spark, d)).select("path", "n")
+    return _store(spark, d).search_counts("return [A-Za-z_.]+\\(", contents=_contents(spark, d)).select("path", "n")
 
 
 def explain_search(spark: SparkSession, d: str) -> DataFrame:
@@ -258,27 +260,54 @@ PATTERNS = ["return", "TODO|FIXME", "foo.*bar", "hello", "[Bb]ucket.*[Ee]ngine",
 
 
 def superset_check(spark: SparkSession, d: str) -> DataFrame:
-    """(pattern, doc_id): files that match but are no candidates. There must be none."""
+    """(pattern, matching, lost): how many files match, and how many of these are no
+    candidates. There must be none of the latter."""
     rows = _texts(spark, d)
     out = None
     for p in PATTERNS:
         hit = grep.matching_files(rows, p, "doc_id", "text")
-        lost = hit.join(_cand(p)(spark, d), "doc_id", "left_anti").select(F.lit(p).alias("pattern"), "doc_id")
-        out = lost if out is None else out.unionByName(lost)
+        both = hit.join(_cand(p)(spark, d).select("doc_id", F.lit(1).alias("_c")), "doc_id", "left")
+        row = both.agg(F.count(F.lit(1)).alias("matching"), F.count_if(F.col("_c").isNull()).alias("lost")).select(F.lit(p).alias("pattern"), "matching", "lost")
+        out = row if out is None else out.unionByName(row)
     return out
 
 
 def parity_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Counts with and without the index, where they differ: a full join, and no rows."""
-    a = _counted("(reader|writer)[A-Z]")(spark, d)
-    rows = compare.differences(a, search_brute(spark, d), "doc_id")
-    return rows.select("doc_id", F.col("left_n").alias("indexed"), F.col("right_n").alias("brute"))
+    """Counts through the index against counts without it, of two expressions of which one
+    finds more: where they differ, and how."""
+    a = _counted("return")(spark, d)
+    rows = compare.differences(a, grep.match_counts(_texts(spark, d), "return [A-Za-z_.]+\\(", "doc_id", "text"), "doc_id")
+    return rows.select("doc_id", F.col("left_n").alias("indexed"), F.col("right_n").alias("brute"), "kind")
+
+
+def parity_kept(spark: SparkSession, d: str) -> DataFrame:
+    """(pattern, files, differing): files with a hit without the index, and those whose
+    count differs through it. There must be none of the latter."""
+    out = None
+    for p in ("(reader|writer)[A-Z]", "assert", "fn [a-z_]+\\("):
+        without = grep.match_counts(_texts(spark, d), p, "doc_id", "text")
+        n = compare.differences(_counted(p)(spark, d), without, "doc_id").agg(F.count(F.lit(1)).alias("differing"))
+        row = without.agg(F.count(F.lit(1)).alias("files")).crossJoin(n).select(F.lit(p).alias("pattern"), "files", "differing")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+#: Expressions with what their candidates hold.
+SHARED = {
+    "return": _has("return"),
+    "TODO|FIXME": f"({_has('TODO')}) OR ({_has('FIXME')})",
+    "hello": _has("hello"),
+    "[Bb]ucket.*[Ee]ngine": f"{_has('ucket')} AND {_has('ngine')} AND (contains(text, 'Buc') OR contains(text, 'buc')) AND (contains(text, 'Eng') OR contains(text, 'eng'))",
+    "^import ": _has("import "),
+    "fn [a-z_]+\\(": _has("fn "),
+    "unsafe impl Send": _has("unsafe impl Send"),
+}
 
 
 def candidate_share(spark: SparkSession, d: str) -> DataFrame:
     """(pattern, candidates): how much of the corpus each pattern leaves to be read."""
     out = None
-    for p in PATTERNS:
+    for p in SHARED:
         row = _cand(p)(spark, d).agg(F.count(F.lit(1)).alias("candidates")).select(F.lit(p).alias("pattern"), "candidates")
         out = row if out is None else out.unionByName(row)
     return out
@@ -306,11 +335,13 @@ def coarse_mtime(spark: SparkSession, d: str) -> DataFrame:
 
 
 def listing_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """Fingerprints of the listings, put against those the snapshots carry: of one root's
-    listings those must be equal where these are."""
-    sequence = intervals.in_sequence(table(spark, d, "snapshots"))
-    rows = snapdiff.latest_listings(snapdiff.readings(table(spark, d, "file_entries"), sequence)).select("snap_id", "path", "len", F.col("mtime.mtime_s").alias("mtime_s"), F.col("mtime.mtime_ns").alias("mtime_ns"))
-    return listing.listing_fingerprints(rows, "snap_id")
+    """(snap_id, files, alike): the least snapshot of the same root whose listing has the
+    same fingerprint, which is a listing equal to this one. Empty listings have no row."""
+    sequence = materialize(intervals.in_sequence(table(spark, d, "snapshots")), "sequence")
+    rows = snapdiff.latest_listings(snapdiff.readings(table(spark, d, "file_entries"), sequence)).select("root_ord", "snap_id", "path", "len", F.col("mtime.mtime_s").alias("mtime_s"), F.col("mtime.mtime_ns").alias("mtime_ns"))
+    marks = listing.listing_fingerprints(rows, "snap_id").join(sequence.select("snap_id", "root_ord"), "snap_id")
+    same = marks.groupBy("root_ord", "fingerprint").agg(F.min("snap_id").alias("alike"))
+    return marks.join(same, ["root_ord", "fingerprint"]).select("snap_id", "files", "alike")
 
 
 def refresh_verdicts(spark: SparkSession, d: str) -> DataFrame:
@@ -325,6 +356,14 @@ def heads_moved(spark: SparkSession, d: str) -> DataFrame:
     return stamp.moved_heads(stamps, current)
 
 
+LISTED_ALIKE = """WITH rows AS (SELECT n.root_ord, e.snap_id, '/' || array_to_string(list_reduce(
+    list_transform(string_split(nfc_normalize(e.path), '/'), lambda p: [p]),
+    lambda kept, p: CASE WHEN p[1] IN ('', '.') THEN kept WHEN p[1] = '..' THEN kept[:-2] ELSE list_concat(kept, p) END,
+    CAST([] AS VARCHAR[])), '/') AS path, e.len, e.mtime_s, e.mtime_ns, e.seen_at FROM file_entries e JOIN snapshots n USING (snap_id) WHERE e.path IS NOT NULL), cur AS (
+  SELECT * FROM rows QUALIFY row_number() OVER (PARTITION BY snap_id, path ORDER BY seen_at DESC NULLS LAST, len DESC NULLS LAST, mtime_s DESC NULLS LAST, mtime_ns DESC NULLS LAST) = 1), lists AS (
+  SELECT root_ord, snap_id, count(*) AS files, list((path, len, mtime_s, mtime_ns) ORDER BY path) AS held FROM cur GROUP BY ALL)
+SELECT snap_id, files, min(snap_id) OVER (PARTITION BY root_ord, held) AS alike FROM lists"""
+
 SEARCH_QUERIES: dict[str, tuple[Query, str | None]] = {
     "trigram_extract": (trigram_extract, f"WITH {_GRAM_ROWS} SELECT doc_id, count(*) AS n_trigrams, CAST(sum(trigram) AS BIGINT) AS code_sum FROM grams GROUP BY doc_id"),
     "trigram_counts": (trigram_counts, f"WITH {_GRAM_ROWS} SELECT trigram, count(*) AS n_files FROM grams GROUP BY trigram"),
@@ -336,17 +375,18 @@ SEARCH_QUERIES: dict[str, tuple[Query, str | None]] = {
   count(*) AS posting_entries, count(DISTINCT trigram) AS distinct_trigrams FROM grams"""),
     "file_ids": (file_ids, "SELECT root_ord, path, row_number() OVER (ORDER BY root_ord, string_split(path, '/')) - 1 AS dense_id FROM files"),
     "index_names": (index_names, f"WITH {_OK} SELECT row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS file_id, '/docs/' || doc_id AS path FROM ok"),
-    "index_problems": (index_problems, "SELECT '' AS problem WHERE false"),
     "cand_and": (_cand("bucket engine"), f"WITH {_OK} SELECT doc_id FROM ok WHERE {_has('bucket engine')}"),
     "cand_or": (_cand("Copyright|@generated"), f"WITH {_OK} SELECT doc_id FROM ok WHERE ({_has('Copyright')}) OR ({_has('@generated')})"),
     "cand_nested": (_cand("assert.*(bucket|engine)"), f"WITH {_OK} SELECT doc_id FROM ok WHERE {_has('assert')} AND (({_has('bucket')}) OR ({_has('engine')}))"),
     "cand_class": (_cand("ab[cde]"), f"WITH {_OK} SELECT doc_id FROM ok WHERE contains(text, 'abc') OR contains(text, 'abd') OR contains(text, 'abe')"),
     "cand_all": (_cand("[a-z]+"), f"WITH {_OK} SELECT doc_id FROM ok"),
-    "cand_none": (_cand("[^\\s\\S]abc"), "SELECT doc_id FROM documents WHERE false"),
+    "cand_none": (cand_none, "SELECT '-' AS query, CAST(0 AS BIGINT) AS candidates"),
+    "cand_repeat": (_cand("(er|ti){2}"), f"WITH {_OK} SELECT doc_id FROM ok WHERE " + " OR ".join(f"({_has(x)})" for x in ("erer", "erti", "tier", "titi"))),
+    "cand_counted": (_cand("(ret){1,3}urn"), f"WITH {_OK} SELECT doc_id FROM ok WHERE contains(text, 'ret') AND contains(text, 'urn')"),
     "cand_icase": (_cand("abc", True), f"WITH {_OK} SELECT doc_id FROM ok WHERE regexp_matches(text, '(?i)abc')"),
     "posting_intersect": (posting_intersect, f"WITH {_OK} SELECT doc_id FROM ok WHERE contains(text, 'buc') INTERSECT SELECT doc_id FROM ok WHERE contains(text, 'eng')"),
     "posting_union": (posting_union, f"WITH {_OK} SELECT doc_id FROM ok WHERE contains(text, '0x7') UNION SELECT doc_id FROM ok WHERE contains(text, '@ge')"),
-    "search_lines": (_lines("return [a-z]+\\("), _lines_sql("return [a-z]+\\(")),
+    "search_lines": (_lines("return [A-Za-z_.]+\\("), _lines_sql("return [A-Za-z_.]+\\(")),
     "search_counts": (_counted("(reader|writer)[A-Z]"), _lines_sql("(reader|writer)[A-Z]", "counts")),
     "search_texts": (search_texts, f"WITH {_OK} SELECT doc_id, strlen(text) AS n_bytes FROM ok"),
     "search_files": (search_files, _lines_sql("generated by [a-z]+", "files")),
@@ -357,19 +397,22 @@ SEARCH_QUERIES: dict[str, tuple[Query, str | None]] = {
     "search_empty_lines": (_counted("^$"), _lines_sql("^$", "counts")),
     "search_ordered": (search_ordered, _lines_sql("assert") + " ORDER BY doc_id, line_no LIMIT 50"),
     "search_totals": (search_totals, _lines_sql("Copyright", "totals")),
-    "search_multiline": (search_multiline, None),
-    "search_index_counts": (search_index_counts, _lines_sql("return [a-z]+\\(", "counts").replace("SELECT doc_id, count(*)", "SELECT '/docs/' || doc_id AS path, count(*)")),
+    "search_multiline": (search_multiline, f"WITH {_OK} SELECT doc_id, n FROM (SELECT doc_id, CAST(len(regexp_extract_all(text, ';\\n[ \\t]*\\}}[^\\n]*')) AS BIGINT) AS n FROM ok) WHERE n > 0"),
+    "search_index_counts": (search_index_counts, _lines_sql("return [A-Za-z_.]+\\(", "counts").replace("SELECT doc_id, count(*)", "SELECT '/docs/' || doc_id AS path, count(*)")),
     "explain_search": (explain_search, f"WITH {_OK} SELECT 'Cop ght igh opy pyr rig yri' AS query, count(*) FILTER (WHERE {_has('Copyright')}) AS candidates, count(*) AS files FROM ok"),
-    "candidate_share": (candidate_share, None),
-    "superset_check": (superset_check, "SELECT '' AS pattern, CAST(0 AS BIGINT) AS doc_id WHERE false"),
-    "parity_diff": (parity_diff, "SELECT CAST(0 AS BIGINT) AS doc_id, CAST(0 AS BIGINT) AS indexed, CAST(0 AS BIGINT) AS brute WHERE false"),
+    "candidate_share": (candidate_share, f"WITH {_OK} " + " UNION ALL ".join(f"SELECT '{p}' AS pattern, count(*) AS candidates FROM ok WHERE {test}" for p, test in SHARED.items())),
+    "superset_check": (superset_check, f"WITH {_OK}, {_LINES} SELECT p AS pattern, (SELECT count(DISTINCT doc_id) FROM lines WHERE regexp_matches(bare, p)) AS matching, CAST(0 AS BIGINT) AS lost FROM (VALUES {', '.join(f"('{p}')" for p in PATTERNS)}) AS v(p)"),
+    "parity_diff": (parity_diff, f"""WITH {_OK}, {_LINES}, a AS (SELECT doc_id, count(*) AS indexed FROM lines WHERE regexp_matches(bare, 'return') GROUP BY doc_id),
+b AS (SELECT doc_id, count(*) AS brute FROM lines WHERE regexp_matches(bare, 'return [A-Za-z_.]+\\(') GROUP BY doc_id)
+SELECT doc_id, indexed, brute, CASE WHEN brute IS NULL THEN 'only left' WHEN indexed IS NULL THEN 'only right' ELSE 'count' END AS kind FROM a FULL JOIN b USING (doc_id) WHERE indexed IS DISTINCT FROM brute"""),
+    "parity_kept": (parity_kept, f"WITH {_OK}, {_LINES} SELECT p AS pattern, (SELECT count(DISTINCT doc_id) FROM lines WHERE regexp_matches(bare, p)) AS files, CAST(0 AS BIGINT) AS differing FROM (VALUES ('(reader|writer)[A-Z]'), ('assert'), ('fn [a-z_]+\\(')) AS v(p)"),
     "listed_files": (listed_files, """SELECT f.file_id, f.path FROM files f JOIN roots r USING (root_ord) WHERE starts_with(f.path, r.path || '/')
   AND NOT regexp_matches(substr(f.path, length(r.path) + 2), '(^|/)[.#~]|~(/|$)')"""),
     "collapsed_roots": (collapsed_roots, """WITH every AS (SELECT path FROM roots WHERE path IS NOT NULL UNION SELECT array_to_string(string_split(path, '/')[1:5], '/') FROM files)
 SELECT e.path, (SELECT min_by(o.path, length(o.path)) FROM every o WHERE o.path <> e.path AND starts_with(e.path, o.path || '/')) AS covered_by FROM every e"""),
     "coarse_mtime": (coarse_mtime, """SELECT snap_id, CASE WHEN bool_and(mtime_s IS NOT NULL AND mtime_s >= 0 AND coalesce(mtime_ns, 0) = 0) THEN max(mtime_s) END AS newest
 FROM file_entries WHERE snap_id IS NOT NULL GROUP BY snap_id"""),
-    "listing_fingerprint": (listing_fingerprint, None),
+    "listing_fingerprint": (listing_fingerprint, LISTED_ALIKE),
     "refresh_verdicts": (refresh_verdicts, """WITH coarse AS (SELECT snap_id, CASE WHEN bool_and(mtime_s IS NOT NULL AND mtime_s >= 0 AND coalesce(mtime_ns, 0) = 0) THEN max(mtime_s) END AS newest
   FROM file_entries GROUP BY snap_id), good AS (SELECT * FROM stamps WHERE fingerprint IS NOT NULL AND root_ord IS NOT NULL AND taken_at IS NOT NULL AND written_at IS NOT NULL), last AS (
   SELECT n.snap_id, n.fingerprint, s.fingerprint AS mark, s.taken_at AS taken FROM snapshots n LEFT JOIN good s ON s.root_ord = n.root_ord AND s.written_at <= n.taken_at

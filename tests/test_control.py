@@ -125,7 +125,7 @@ def test_planning_of_roots():
     assert pairs(plan([Root("/c", "walk")], local="/c")) == [("/c", "walk")]
     done = plan([*stored, Root("/gone")], remove=["/b/", "/never"], add=["/a/sub"])
     assert pairs(done) == [("/a", "git")]
-    assert done.notes == ["/never: not in the index", "/b: removed", "/gone: no longer exists, dropped from the index", "/a/sub is inside /a, not indexing it twice"]
+    assert done.notes == ["/never: not in the index", "/b: removed", "/gone: is gone; taken off the list of roots", "/a/sub: left to /a, which holds it"]
     with pytest.raises(NotADirectoryError):
         plan(stored, add=["/nowhere"])
 
@@ -364,7 +364,7 @@ def test_search_output(spark, tmp_path):
     assert run("-c", "zzz") == (1, "", "") and run("--brute", "-i", "HIT", "-f", "a[.]txt")[0] == 0
     assert "candidates: 1 of 2 files" in run("--verbose", "hit")[2]
     os.remove(f"{root}/a.txt")
-    assert run("hit")[0] == 1 and "1 indexed file(s) no longer exist" in run("hit")[2]
+    assert run("hit")[0] == 1 and "1 file(s) of the index are gone" in run("hit")[2]
 
 
 def test_stream_of_changes(spark, tmp_path):

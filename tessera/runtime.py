@@ -42,7 +42,8 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at a table
     that survives the loss of executors, and later scans prune its columns. The shuffle
-    files of the write go with its end, as nothing reads them again."""
+    files of the write go with its end, as nothing reads them again; the table goes with
+    the session's JVM, if ``discard`` hasn't removed it by then."""
     spark = df.sparkSession
     path = fresh_path(spark, label)
     before = spark.conf.get(_CLEANUP, None)
@@ -51,6 +52,7 @@ def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
         df.write.options(**({"compression": "zstd"} | options)).parquet(path)
     finally:
         spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    SharedFolder(spark, path).remove_at_exit()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -154,5 +156,13 @@ class SharedFolder:
     def remove(self, name: str = "") -> None:
         self._fs.delete(self._at(name), True)
 
+    def remove_at_exit(self) -> None:
+        self._fs.deleteOnExit(self._at(""))
+
+    def changed(self) -> tuple[int, int]:
+        """The folder's or file's time of change, and size: others, once it is replaced."""
+        status = self._fs.getFileStatus(self._at(""))
+        return status.getModificationTime(), status.getLen()
+
     def size(self, name: str = "") -> int:
         return int(self._fs.getContentSummary(self._at(name)).getLength()) if self.exists(name) else 0

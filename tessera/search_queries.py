@@ -3,6 +3,7 @@ test tables: the rows of ``documents`` are the files, by ``doc_id``."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,17 +15,26 @@ from tessera.operators import grep, intervals, roots, snapdiff
 from tessera.plans import hir
 from tessera.plans.analyze import regexp_query
 from tessera.plans.candidates import GramCounts, candidates, choose
-from tessera.runtime import fresh_path, materialize, spread, table
+from tessera.runtime import SharedFolder, fresh_path, materialize, spread, table
 from tessera.sources import index, listing
 
 Query = Callable[[SparkSession, str], DataFrame]
 TEXTS_STORED = {"parquet.block.size": str(32 << 20), "parquet.page.size": str(128 << 10), "parquet.page.row.count.limit": "200"}
-_KEPT: dict[tuple[str, str, str], object] = {}
+_KEPT: dict[tuple, object] = {}
+
+
+def _as_of(spark: SparkSession, d: str) -> tuple:
+    documents = f"{d}/documents.parquet"
+    if "://" in d:
+        return SharedFolder(spark, documents).changed()
+    at = os.stat(documents)
+    return at.st_mtime_ns, at.st_size, at.st_ino
 
 
 def _once(spark: SparkSession, d: str, what: str, make: Callable[[], object]):
-    """Tables that several queries start from are made once per application and input."""
-    key = (spark.sparkContext.applicationId, d, what)
+    """Tables that several queries start from are made once per application and input, and
+    anew if the input was replaced."""
+    key = (spark.sparkContext.applicationId, d, _as_of(spark, d), what)
     if key not in _KEPT:
         _KEPT[key] = make()
     return _KEPT[key]

@@ -43,7 +43,7 @@ def test_walk(tmp_path):
     hidden = files(tmp_path / ".root", "seen")
     assert names(listing.snapshot([Root(hidden)]), hidden) == ["seen"]
     small = listing.snapshot([Root(root)], limit=14)
-    assert small.too_large == 6 - len(list(small.all_files())) > 0 and any("over the 14-byte limit" in n for n in small.notes)
+    assert small.too_large == 6 - len(list(small.all_files())) > 0 and any("of at most 14 bytes" in n for n in small.notes)
     with pytest.raises(listing.ListingError):
         listing.snapshot([Root(root, "cvs")])
 
